@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from sparkseam.llm import decontaminate
+from sparkseam.llm import decontaminate, embeddings, simhash
 from sparkseam.llm.common import table
 
 QUERIES = {
     "op1_decontamination": lambda spark, d: decontaminate.contamination(table(spark, d, "documents"), table(spark, d, "benchmark")),
+    "op3_simhash": lambda spark, d: simhash.near_duplicates(table(spark, d, "documents")),
+    "op9_embeddings": lambda spark, d: embeddings.near_duplicates(table(spark, d, "embeddings")),
 }
 ORACLE_SQL = {
     "op1_decontamination": decontaminate.ORACLE_SQL,
+    "op9_embeddings": embeddings.ORACLE_SQL,
 }
