@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from sparkseam.llm import decontaminate, embeddings, simhash
+from sparkseam.llm import bpe, decontaminate, embeddings, simhash, tokenfile
 from sparkseam.llm.common import table
 
 QUERIES = {
     "op1_decontamination": lambda spark, d: decontaminate.contamination(table(spark, d, "documents"), table(spark, d, "benchmark")),
     "op3_simhash": lambda spark, d: simhash.near_duplicates(table(spark, d, "documents")),
     "op9_embeddings": lambda spark, d: embeddings.near_duplicates(table(spark, d, "embeddings")),
+    "op8_bpe": lambda spark, d: bpe.round_trip(table(spark, d, "documents")),
+    "op10_tokenfile": lambda spark, d: tokenfile.stored(table(spark, d, "documents")),
 }
 ORACLE_SQL = {
     "op1_decontamination": decontaminate.ORACLE_SQL,
