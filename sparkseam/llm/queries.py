@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparkseam.llm import bpe, decontaminate, embeddings, quality, simhash, tokenfile
+from sparkseam.llm import bpe, decontaminate, embeddings, html, quality, simhash, tokenfile
 from sparkseam.llm.common import table
 
 QUERIES = {
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_simhash": lambda spark, d: simhash.near_duplicates(table(spark, d, "documents")),
     "op9_embeddings": lambda spark, d: embeddings.near_duplicates(table(spark, d, "embeddings")),
     "op4_quality": lambda spark, d: quality.scored(table(spark, d, "documents"), table(spark, d, "labels")),
+    "op5_html": lambda spark, d: html.extracted(table(spark, d, "pages")),
     "op8_bpe": lambda spark, d: bpe.round_trip(table(spark, d, "documents")),
     "op10_tokenfile": lambda spark, d: tokenfile.stored(table(spark, d, "documents")),
 }
