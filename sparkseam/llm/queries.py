@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparkseam.llm import bpe, decontaminate, embeddings, html, lm, quality, simhash, tokenfile
+from sparkseam.llm import bpe, decontaminate, embeddings, html, lm, quality, simhash, suffixes, tokenfile
 from sparkseam.llm.common import table
 
 QUERIES = {
@@ -11,11 +11,13 @@ QUERIES = {
     "op9_embeddings": lambda spark, d: embeddings.near_duplicates(table(spark, d, "embeddings")),
     "op4_quality": lambda spark, d: quality.scored(table(spark, d, "documents"), table(spark, d, "labels")),
     "op5_html": lambda spark, d: html.extracted(table(spark, d, "pages")),
+    "op6_suffixes": lambda spark, d: suffixes.removed(table(spark, d, "documents")),
     "op7_lm": lambda spark, d: lm.scored(table(spark, d, "documents")),
     "op8_bpe": lambda spark, d: bpe.round_trip(table(spark, d, "documents")),
     "op10_tokenfile": lambda spark, d: tokenfile.stored(table(spark, d, "documents")),
 }
 ORACLE_SQL = {
     "op1_decontamination": decontaminate.ORACLE_SQL,
+    "op6_suffixes": suffixes.ORACLE_SQL,
     "op9_embeddings": embeddings.ORACLE_SQL,
 }
