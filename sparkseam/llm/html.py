@@ -37,6 +37,12 @@ class Block:
     heading: bool
 
 
+def _named(name: str) -> bool:
+    """Whether a class or id names a part that isn't the article's ("sidebar-left", but not "has-sidebar")."""
+    parts = _PART.findall(name)
+    return any(p in NAMED for p in parts) and parts[0] not in ("has", "no", "with", "without")
+
+
 def blocks(page: str) -> list[Block]:
     """The page's non-empty text blocks in order. Unknown and unclosed markup is tolerated."""
     out: list[Block] = []
@@ -77,7 +83,7 @@ def blocks(page: str) -> list[Block]:
         if not close:
             main = name in MAIN or "main" in (x.lower() for y in _NAMES.findall(m[0]) for x in y if "role" in m[0].lower())
             within = any(x[2] for x in open_)
-            named = name not in ("body", "html", "main") and any(p in NAMED for y in _NAMES.findall(m[0]) for x in y for p in _PART.findall(x.lower()))
+            named = name not in ("body", "html", "main") and any(_named(x) for y in _NAMES.findall(m[0]) for x in "".join(y).lower().split())
             open_.append((name, named or name in ASIDE or name == "header" and not within, main))
         else:
             for k in range(len(open_) - 1, -1, -1):

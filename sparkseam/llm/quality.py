@@ -158,3 +158,14 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     out = docs.select("doc_id", "text").mapInArrow(score, "doc_id long, score double")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
+
+
+def kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, that the model of labels predicts to be of quality 1; see scored()."""
+    model = fit(docs, labels)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array([model is None or model.score(t) >= CUT for t in b.column("text").to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)

@@ -24,8 +24,8 @@ LENGTH = 50
 KMER = 20
 #: Bytes of text worked on at once, and bytes of a shard of stretches.
 PIECE, SHARD = 1 << 20, 1 << 17
-#: Stretches of a bucket that are merged at once at most, in shards; a bucket beyond that is merged in ranges of its anchors.
-END = 255  # never a byte of UTF-8
+#: Closes a stretch: never a byte of UTF-8.
+END = 255
 #: Merged spans up to which they are broadcast.
 MOST_SPANS, MOST_DOCS = 3_000_000, 400_000
 
@@ -269,13 +269,13 @@ def _union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """docs' rows (doc_id, text), each with starts and stops: byte spans of its text that an earlier document holds.
+    """A row (d, starts, stops) for each row d of docs: byte spans of its text that an earlier document holds.
 
     Null texts are empty. Rows without a doc_id come after all others. Rows of one doc_id are one document: they don't
-    take from each other. Only doc_id and text are looked at.
+    take from each other. Of docs' columns only doc_id and text are looked at.
     """
     spark = docs.sparkSession
-    keyed = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc"), F.xxhash64("text").alias("row"))
+    keyed = docs.select(F.struct(*docs.columns).alias("d"), "text", F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc"), F.xxhash64("text").alias("row"))
     buckets = min(60_000, 2 * n_parts(spark))
     dealt = keyed.select("doc", "row", "text").mapInArrow(lambda it: _dealt(it, buckets), STRETCHES)
     spans = written(dealt.groupBy("bucket").applyInArrow(_classified, SPANS))
@@ -297,7 +297,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     by_doc = written(by_doc)
     size = by_doc.agg(F.count("*"), F.coalesce(F.sum(F.size("starts")), F.lit(0))).first()
     small = F.broadcast(by_doc) if size[0] <= MOST_DOCS and size[1] <= MOST_SPANS else by_doc
-    return keyed.join(small, ["doc", "row"], "left").select("doc_id", "text", "starts", "stops")
+    return keyed.join(small, ["doc", "row"], "left").select("d", "starts", "stops")
 
 
 def cut(raw: bytes, starts: list[int] | None, stops: list[int] | None) -> bytes:
@@ -307,33 +307,39 @@ def cut(raw: bytes, starts: list[int] | None, stops: list[int] | None) -> bytes:
     return b"".join(raw[a:b] for a, b in zip([0, *stops], [*starts, len(raw)], strict=True))
 
 
+def _cuts(b: pa.RecordBatch) -> Iterator[tuple]:
+    return zip(b.column("d").field("text").to_pylist(), b.column("starts").to_pylist(), b.column("stops").to_pylist(), strict=True)
+
+
 def removed(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256; see repeats()."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, gone, spans, sha = [], [], [], []
-            for text, s, e in zip(*(b.column(c).to_pylist() for c in ("text", "starts", "stops")), strict=True):
+            for text, s, e in _cuts(b):
                 raw = (text or "").encode("utf-8", "surrogatepass")
                 kept = cut(raw, s, e)
                 n.append(len(raw))
                 gone.append(len(raw) - len(kept))
                 spans.append(len(s or ()))
                 sha.append(hashlib.sha256(kept).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(x, pa.int64()) for x in (n, gone, spans)), pa.array(sha, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([b.column("d").field("doc_id"), *(pa.array(x, pa.int64()) for x in (n, gone, spans)), pa.array(sha, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return repeats(docs).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return repeats(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def kept_text(docs: DataFrame) -> DataFrame:
-    """doc_id and text without its repeats; characters that a span cuts through lose their remaining bytes."""
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """docs with the repeats cut out of text; a character that a span cuts through loses its other bytes too."""
+    names, at = docs.columns, docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            t = [cut((x or "").encode("utf-8", "surrogatepass"), s, e).decode("utf-8", "ignore") for x, s, e in zip(*(b.column(c).to_pylist() for c in ("text", "starts", "stops")), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(t, pa.string())], ["doc_id", "text"])
+            cols = b.column("d").flatten()
+            cols[at] = pa.array([None if x is None else x if not s else cut(x.encode("utf-8", "surrogatepass"), s, e).decode("utf-8", "ignore") for x, s, e in _cuts(b)], pa.string())
+            yield pa.RecordBatch.from_arrays(cols, names)
 
-    return repeats(docs).mapInArrow(run, "doc_id long, text string")
+    return repeats(docs).mapInArrow(run, docs.schema)
 
 
 ORACLE_SQL = """
