@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from sparkseam.llm import bpe, decontaminate, embeddings, html, lm, quality, simhash, suffixes, tokenfile
+from sparkseam.llm import bpe, decontaminate, embeddings, html, licences, lm, quality, simhash, suffixes, tokenfile
 from sparkseam.llm.common import table
 
 QUERIES = {
     "op1_decontamination": lambda spark, d: decontaminate.contamination(table(spark, d, "documents"), table(spark, d, "benchmark")),
+    "op2_licences": lambda spark, d: licences.scan(table(spark, d, "documents")),
     "op3_simhash": lambda spark, d: simhash.near_duplicates(table(spark, d, "documents")),
     "op9_embeddings": lambda spark, d: embeddings.near_duplicates(table(spark, d, "embeddings")),
     "op4_quality": lambda spark, d: quality.scored(table(spark, d, "documents"), table(spark, d, "labels")),
@@ -18,6 +19,7 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "op1_decontamination": decontaminate.ORACLE_SQL,
+    "op2_licences": licences.ORACLE_SQL,
     "op6_suffixes": suffixes.ORACLE_SQL,
     "op9_embeddings": embeddings.ORACLE_SQL,
 }

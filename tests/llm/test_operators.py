@@ -15,7 +15,7 @@ import tiktoken
 import xxhash
 from tokenizers import Tokenizer
 
-from sparkseam.llm import bpe, decontaminate, embeddings, graph, html, lm, quality, simhash, suffixes, tokenfile
+from sparkseam.llm import bpe, decontaminate, embeddings, graph, html, licences, lm, quality, simhash, suffixes, tokenfile
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, doc long, row string, key string, node long, t int, w string, hits string"
 
@@ -82,6 +82,21 @@ def test_proximity(spark):
     assert sorted((r.doc_id, r.start) for r in decontaminate.proximity_matches(d, items, slack=2).collect()) == [(0, 0), (1, 0)]
 
 
+# 2
+
+
+def test_licence_scan(spark):
+    mit = dict(reversed(licences.TEXTS))["MIT"]
+    t = [mit.upper().replace("SUBLICENSE", "Sub-License"), "(c) 2020 A. B.\n" + mit.replace(",", " ;"), mit + " more", "Copyright 2021 X\n\nreleased under the MIT LICENCE!", "one\nLicensed under CC BY-NC 4.0\ntwo\nLicensed under CC BY-NC 4.0.\nReleased under the MIT Licence", "", None, "nothing"]
+    got = {r.doc_id: r for r in licences.scan(docs(spark, t)).collect()}
+    assert [got[i].license for i in range(8)] == ["MIT", "MIT", None, "MIT", None, None, None, None]
+    assert [(got[i].statements, got[i].n_statements) for i in (3, 4, 5, 7)] == [("MIT", 1), ("CC-BY-NC-4.0,MIT", 3), ("", 0), ("", 0)]
+    assert got[5].text_sha256 == got[6].text_sha256 == hashlib.sha256(b"").hexdigest()
+    assert all(got[i].text_sha256 == hashlib.sha256(licences.canonical(x or "").encode()).hexdigest() for i, x in enumerate(t))
+    assert [r.n_statements for r in licences.scan(docs(spark, [t[3], t[3]], [None, 1])).orderBy("doc_id").collect()] == [0, 1]
+    assert licences.scan(docs(spark, [])).collect() == []
+
+
 # 3
 
 

@@ -13,7 +13,7 @@ from sparkseam.llm import decontaminate, queries, simhash, suffixes
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["op1_decontamination", "op9_embeddings"])
+@pytest.mark.parametrize("name", ["op1_decontamination", "op2_licences", "op9_embeddings"])
 def test_same_rows_as_sql(spark, tmp_path, name):
     c = duckdb.connect()
     for t in ("documents", "benchmark", "embeddings"):
