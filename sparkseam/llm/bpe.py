@@ -20,8 +20,8 @@ import regex
 from pyspark.sql import DataFrame
 
 RANKS = "byte_bpe_50k.tiktoken"
-#: Words encoded by one query, and words that a task keeps.
-WORDS_AT_ONCE, WORDS_KEPT = 40_000, 400_000
+#: Words encoded by one query, and strings that a task keeps.
+WORDS_AT_ONCE, STRINGS_KEPT = 40_000, 600_000
 #: Longer words contract all occurrences of the pair that do not overlap at once, which has the same end.
 LONG = 48
 
@@ -36,6 +36,28 @@ def split(text: str) -> list[str]:
     return (_LATIN if text.isascii() or max(text) < "Ā" else _ANY).findall(text)
 
 
+class Kept:
+    """What strings become by make(), kept for the latest ones: those not asked for in a whole generation are forgotten."""
+
+    def __init__(self, make: Callable[[list[str]], list[tuple[bytes, ...]]], outputs: int, most: int) -> None:
+        self.make, self.generation = make, most // 2
+        self.now: list[dict[str, bytes]] = [{} for _ in range(outputs)]
+        self.old = self.now
+
+    def learn(self, strings: set[str]) -> None:
+        """Afterwards `now` has all the strings."""
+        new = strings.difference(self.now[0])
+        if len(self.now[0]) + len(new) > self.generation:
+            self.old, self.now, new = self.now, [{} for _ in self.now], strings
+        again = [s for s in new if s in self.old[0]]
+        for d, old in zip(self.now, self.old, strict=True):
+            d.update((s, old[s]) for s in again)
+        new = list(new.difference(again))
+        for s, made in zip(new, self.make(new), strict=True):
+            for d, x in zip(self.now, made, strict=True):
+                d[s] = x
+
+
 def load_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
@@ -92,23 +114,18 @@ class Encoder:
         self.put("merges", pa.table({"a": a, "b": b, "rank": r}))
         self.put("vocabulary", pa.table({"id": pa.array(ranks.values(), pa.int32()), "hex": [t.hex() for t in ranks]}))
         self.byte_id = np.array([ranks[bytes([x])] for x in range(256)], np.int32)
-        self.ids: dict[str, bytes] = {}
-        self.back: dict[str, bytes] = {}
+        self.words = Kept(self.encode, 2, STRINGS_KEPT)
 
     def put(self, name: str, t: pa.Table) -> None:
         self.db.register("given", t)
         self.db.execute(f"CREATE OR REPLACE TABLE {name} AS SELECT * FROM given")
         self.db.unregister("given")
 
-    def learn(self, words: Iterable[str]) -> None:
-        """Encodes and decodes the words not yet known."""
-        new = [w for w in set(words) if w not in self.ids]
-        if len(self.ids) + len(new) > WORDS_KEPT:
-            self.ids, self.back = {}, {}
-            new = list(set(words))
-        new.sort(key=len)
-        short = sum(len(w) <= LONG for w in new)
-        for query, some in ((ONE, new[:short]), (ALL, new[short:])):
+    def encode(self, given: list[str]) -> list[tuple[bytes, bytes]]:
+        """For each word its ids in decimal, joined by a space, and the bytes decoded from them."""
+        words, out = sorted(given, key=len), {}
+        short = sum(len(w) <= LONG for w in words)
+        for query, some in ((ONE, words[:short]), (ALL, words[short:])):
             at = 0
             while at < len(some):
                 part, size = [], 0
@@ -116,17 +133,17 @@ class Encoder:
                     part.append(some[at].encode("utf-8", "surrogatepass"))
                     size += len(part[-1])
                     at += 1
-                self.run(query, some[at - len(part) : at], part)
+                self.run(query, some[at - len(part) : at], part, out)
+        return [out[w] for w in given]
 
-    def run(self, query: str, words: list[str], raw: list[bytes]) -> None:
+    def run(self, query: str, words: list[str], raw: list[bytes], out: dict[str, tuple[bytes, bytes]]) -> None:
         n = np.array([len(x) for x in raw])
         wid = np.repeat(np.arange(len(raw), dtype=np.int32), n)
         pos = (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)).astype(np.int64)
         ids = self.byte_id[np.frombuffer(b"".join(raw), np.uint8)]
         self.put("begin", pa.table({"wid": wid, "pos": pos, "id": ids}))
         for k, i, h in self.db.execute(query + END).fetchall():
-            self.ids[words[k]] = i.encode()
-            self.back[words[k]] = bytes.fromhex(h)
+            out[words[k]] = (i.encode(), bytes.fromhex(h))
 
     def texts(self, texts: Iterable[str | None], most_chars: int = 4_000_000) -> Iterator[tuple[bytes, bytes]]:
         """For each text its ids in decimal, joined by a space, and the bytes decoded from them."""
@@ -140,8 +157,8 @@ class Encoder:
         yield from self.flush(held)
 
     def flush(self, held: list[list[str]]) -> Iterator[tuple[bytes, bytes]]:
-        self.learn(w for words in held for w in words)
-        ids, back = self.ids.__getitem__, self.back.__getitem__
+        self.words.learn(set().union(*held))
+        ids, back = (d.__getitem__ for d in self.words.now)
         for words in held:
             yield b" ".join(map(ids, words)), b"".join(map(back, words))
 
