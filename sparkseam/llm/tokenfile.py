@@ -7,21 +7,29 @@ before every block of 512 bits.
 
 from __future__ import annotations
 
+import functools
+import os
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkseam.llm.bpe import WORDS_KEPT, split
+from sparkseam.llm.bpe import Kept
 from sparkseam.llm.common import n_parts, shared_dir
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
+#: After letters alone, these are a token of their own: what is before them is looked up without them.
+CLOSERS = ".,"
+#: Parts of texts whose ids a worker keeps from task to task, and texts looked up at once.
+PARTS_KEPT, AT_ONCE = 900_000, 5000
 BITS = 16
 BLOCK = 512
 #: A shard is closed with the document that brings it to so many tokens.
@@ -41,12 +49,12 @@ class WaveletMatrix:
         """The planes and rank blocks of the numbers a; the last rank is the number of all ones."""
         planes, ranks = [], []
         for level in range(BITS):
-            one = (a >> np.uint16(BITS - 1 - level)) & np.uint16(1) == 1
+            one = (a & np.uint16(1 << (BITS - 1 - level))) != 0
             packed = np.packbits(one)
             counts = np.add.reduceat(np.bitwise_count(packed), np.arange(0, len(packed), BLOCK // 8), dtype=np.uint32) if len(packed) else np.empty(0, np.uint32)
             planes.append(packed.tobytes())
             ranks.append(np.concatenate([[0], np.cumsum(counts)]).astype(np.uint32).tobytes())
-            a = np.concatenate([a[~one], a[one]])
+            a = np.concatenate([a.take(np.flatnonzero(~one)), a.take(np.flatnonzero(one))])
         return planes, ranks
 
     def ones(self, level: int, i: int) -> int:
@@ -87,37 +95,65 @@ class WaveletMatrix:
         """The whole sequence, rebuilt from the last plane to the first."""
         out = np.zeros(self.n, np.uint16)
         for level in reversed(range(BITS)):
-            one = np.unpackbits(self.planes[level], count=self.n).astype(bool)
+            one = np.unpackbits(self.planes[level], count=self.n).view(bool)
             up = np.empty_like(out)
-            up[~one], up[one] = out[: self.zeros[level]], out[self.zeros[level] :]
-            out = up | (one.astype(np.uint16) << np.uint16(BITS - 1 - level))
+            up[np.flatnonzero(~one)] = out[: self.zeros[level]]
+            up[np.flatnonzero(one)] = out[self.zeros[level] :] | np.uint16(1 << (BITS - 1 - level))
+            out = up
         return out
 
 
 class Tokens:
-    """Texts to ids with the tokenizers library; words met before are looked up, within a bound."""
+    """Texts to ids with the tokenizers library; the parts of texts between spaces that were met before are looked up.
+
+    A token never goes on over a space that follows another character than white space. So a text in which no space has
+    other white space beside it is the sequence of its parts, each with the space before it. Other texts, and
+    those with a special token, are encoded as a whole.
+    """
 
     def __init__(self, path: str) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a task per core
         from tokenizers import Tokenizer
 
-        self.lib, self.ids = Tokenizer.from_file(path), {}
+        self.lib = Tokenizer.from_file(path)
         self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
+        self.later = Kept(lambda parts: [(x,) for x in self.encode([" " + p for p in parts])], 1, PARTS_KEPT)
+        self.closers = dict(zip(CLOSERS, self.encode(list(CLOSERS)), strict=True))
+
+    def encode(self, strings: list[str]) -> list[bytes]:
+        out = []
+        for at in range(0, len(strings), 10_000):
+            out += [array("H", e.ids).tobytes() for e in self.lib.encode_batch_fast(strings[at : at + 10_000], add_special_tokens=False)]
+        return out
 
-    def texts(self, texts: list[str]) -> Iterator[bytes]:
-        """The little-endian 16-bit ids of each text, END_ID last."""
-        end = np.array([END_ID], "<u2").tobytes()
-        held = [None if any(s in t for s in self.special) else split(t) for t in texts]
-        new = {w for words in held if words for w in words} - self.ids.keys()
-        if len(self.ids) + len(new) > WORDS_KEPT:
-            self.ids, new = {}, {w for words in held if words for w in words}
-        new = list(new)
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for w, e in zip(part, self.lib.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.ids[w] = np.array(e.ids, "<u2").tobytes()
-        get = self.ids.__getitem__
-        for t, words in zip(texts, held, strict=True):
-            yield (np.array(self.lib.encode(t, add_special_tokens=False).ids, "<u2").tobytes() if words is None else b"".join(map(get, words))) + end
+    def texts(self, texts: pa.Array) -> Iterator[bytes]:
+        """The 16-bit ids of each text, END_ID last."""
+        end = array("H", [END_ID]).tobytes()
+        parts = pc.split_pattern(texts, " ")
+        coded = parts.flatten().dictionary_encode()
+        words, starts = coded.dictionary.to_pylist(), parts.offsets.to_numpy() - parts.offsets[0].as_py()
+        stem = [w[:-1] if w[-1:] in CLOSERS and w[:-1].isalpha() else w for w in words]
+        self.later.learn(set(stem))
+        get = self.later.now[0].__getitem__
+        ids = [get(s) if len(s) == len(w) else get(s) + self.closers[w[-1]] for s, w in zip(stem, words, strict=True)]
+        odd = np.array([not w or w != w.strip() for w in words], bool)[coded.indices.to_numpy()]
+        whole = np.logical_or.reduceat(odd, starts[:-1]) & (np.diff(starts) > 1) if len(texts) else odd
+        for s in self.special:
+            whole |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
+        laid = pa.array(ids, pa.binary()).take(coded.indices)
+        data, at = laid.buffers()[2].to_pybytes() if laid.buffers()[2] else b"", np.frombuffer(laid.buffers()[1], np.int32)[laid.offset :]
+        first = self.encode(parts.flatten().take(pa.array(starts[:-1])).to_pylist())
+        for k, all_ in enumerate(whole):
+            if all_:
+                yield self.encode([texts[k].as_py()])[0] + end
+            else:
+                yield first[k] + data[at[starts[k] + 1] : at[starts[k + 1]]] + end
+
+
+@functools.cache
+def tokens_of(path: str) -> Tokens:
+    """The worker's Tokens: Spark's Python workers go on to further tasks, and then know the usual words."""
+    return Tokens(path)
 
 
 FILE = "shard long, doc_ids array<bigint>, sizes array<bigint>, n long, planes array<binary>, ranks array<binary>"
@@ -139,21 +175,20 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None) -> None:
     bounds = np.unique(np.array(docs.select("doc_id").approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.1 / parts), float))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = None
+        tokens = tokens_of(tokenizer)
         for b in batches:
-            tokens = tokens or Tokens(tokenizer)
-            for at in range(0, b.num_rows, 1000):
-                some = b.slice(at, 1000)
+            for at in range(0, b.num_rows, AT_ONCE):
+                some = b.slice(at, AT_ONCE)
                 doc = some.column("doc_id")
                 part = np.searchsorted(bounds, doc.fill_null(np.iinfo(np.int64).min).to_numpy(), "right")
-                ids = pa.array(list(tokens.texts([t or "" for t in some.column("text").to_pylist()])), pa.binary())
+                ids = pa.array(list(tokens.texts(some.column("text").fill_null(""))), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), doc, ids], ["part", "doc_id", "ids"])
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, nth, docs_, sizes, held = None, 0, [], [], []
 
         def shard() -> pa.RecordBatch:
-            a = np.frombuffer(b"".join(held), "<u2")
+            a = np.frombuffer(b"".join(held), np.uint16)
             planes, ranks = WaveletMatrix.parts(a)
             row = {"shard": (part << 32) + nth, "doc_ids": docs_, "sizes": sizes, "n": len(a), "planes": planes, "ranks": ranks}
             return pa.RecordBatch.from_pylist([row], pa.schema([("shard", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("n", pa.int64()), ("planes", pa.list_(pa.binary())), ("ranks", pa.list_(pa.binary()))]))
