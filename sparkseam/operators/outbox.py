@@ -40,7 +40,7 @@ def claim(outbox: DataFrame, now: Column, limit: int, lease_minutes: int = 15) -
 
 def lease_outcome(status: Column, lease_expires_at: Column, now: Column) -> Column:
     """What a claim of a dispatch token gives: new, completed, in flight, or taken over from a dead worker."""
-    return F.when(status.isNull(), "claimed").when(status == "completed", "completed").when(lease_expires_at > now, "in_flight").otherwise("reclaimed")
+    return F.when(status.isNull(), "claimed").when(status == "completed", "completed").when(lease_expires_at >= now, "in_flight").otherwise("reclaimed")
 
 
 def cooled(df: DataFrame, key: str, ts: str, id_: str, seconds: int) -> DataFrame:
@@ -48,3 +48,20 @@ def cooled(df: DataFrame, key: str, ts: str, id_: str, seconds: int) -> DataFram
     before = F.lag(ts).over(Window.partitionBy(key).orderBy(ts, id_))
     gap = F.unix_seconds(F.col(ts).cast("timestamp")) - F.unix_seconds(before.cast("timestamp"))
     return df.withColumn("admitted", before.isNull() | (gap >= seconds))
+
+
+def unsubscribe(outbox: DataFrame, suppressions: DataFrame, tokens: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(suppressions, outbox) after the tokens' owners unsubscribed: their addresses are suppressed, their open rows too.
+
+    outbox: (id, tenant, email, token, status), suppressions: (tenant, email), tokens: (token).
+    """
+    gone = outbox.join(tokens.select("token").distinct(), "token", "left_semi").select("tenant", F.lower(F.trim("email")).alias("email")).where("email <> ''").distinct()
+    rows = outbox.withColumn("_e", F.lower(F.trim("email"))).join(gone.select("tenant", F.col("email").alias("_e"), F.lit(True).alias("_g")), ["tenant", "_e"], "left")
+    open_ = F.col("status").isin("pending_dispatch", "queued", "dispatch_claimed", "dispatching", "dispatch_failed")
+    done = rows.withColumn("status", F.when(F.col("_g") & open_, "suppressed").otherwise(F.col("status"))).select(outbox.columns)
+    return suppressions.select("tenant", "email").union(gone).distinct(), done
+
+
+def qualified(status: Column) -> Column:
+    """Status after a human qualification: only what is ready becomes qualified; all else stays."""
+    return F.when(status == "ready_for_review", "qualified").otherwise(status)

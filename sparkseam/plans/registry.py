@@ -7,8 +7,9 @@ from decimal import Decimal
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkseam.functions import phrases
 from sparkseam.functions import text as X
-from sparkseam.operators import govern, keys, matching, outbox, report, web
+from sparkseam.operators import discovery, govern, keys, matching, outbox, report, web
 from sparkseam.sources import tables
 from sparkseam.streaming import jobs
 
@@ -386,7 +387,7 @@ def _(t, spark) -> DataFrame:
     return outbox.claim(rows, F.expr("timestamp_ntz'2000-01-01'"), 40).select("id", "status", "attempt")
 
 
-@query("lease_outcomes", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'claimed' WHEN o_orderstatus = 'F' THEN 'completed' WHEN o_orderdate > TIMESTAMP '1996-01-01' THEN 'in_flight' ELSE 'reclaimed' END AS outcome FROM orders")
+@query("lease_outcomes", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'claimed' WHEN o_orderstatus = 'F' THEN 'completed' WHEN o_orderdate >= TIMESTAMP '1996-01-01' THEN 'in_flight' ELSE 'reclaimed' END AS outcome FROM orders")
 def _(t, spark) -> DataFrame:
     s = F.when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "O", "claimed")
     return t("orders").select("o_orderkey", outbox.lease_outcome(s, F.col("o_orderdate"), F.expr("timestamp_ntz'1996-01-01'")).alias("outcome"))
@@ -516,6 +517,152 @@ def _(t, spark) -> DataFrame:
     return t("documents").select("doc_id", web.strip_boilerplate("text").alias("text"))
 
 
+# Discovery
+
+BUYER = "array_to_string(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ')[1:3], ' ')"
+PROBLEM = "array_to_string(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ')[4:11], ' ')"
+TEMPLATED = ", ".join("(%d, '%s', '%s')" % (k, a, b) for k, (a, b) in enumerate(phrases.TEMPLATES))  # noqa: UP031
+
+
+def _phrases(t) -> DataFrame:
+    w = F.split(X.normalize_space(F.col("text")), " ")
+    part = lambda a, n: F.array_join(F.slice(w, a, n), " ")
+    return t("benchmark").select("item_id", F.inline(phrases.typed_phrases(phrases.buyer_language(part(1, 3)), phrases.buyer_language(part(4, 8)))))
+
+
+@query(
+    "typed_phrases",
+    f"""
+WITH b AS (SELECT item_id, {BUYER} AS buyer, {PROBLEM} AS problem FROM benchmark), t(k, query_type, template) AS (VALUES {TEMPLATED}),
+p AS (SELECT item_id, k, query_type, array_to_string(string_split(replace(replace(template, '{{buyer}}', buyer), '{{problem}}', problem), ' ')[1:14], ' ') AS phrase FROM b, t WHERE buyer <> '' AND problem <> '')
+SELECT item_id, query_type, phrase FROM p QUALIFY row_number() OVER (PARTITION BY item_id, lower(phrase) ORDER BY k) = 1""",
+)
+def _(t, spark) -> DataFrame:
+    return _phrases(t)
+
+
+@query(
+    "plan_validity",
+    f"""
+WITH b AS (SELECT item_id, {BUYER} AS buyer, {PROBLEM} AS problem FROM benchmark), t(k, query_type, template) AS (VALUES {TEMPLATED}),
+p AS (SELECT item_id, query_type, array_to_string(string_split(replace(replace(template, '{{buyer}}', buyer), '{{problem}}', problem), ' ')[1:14], ' ') AS phrase FROM b, t WHERE buyer <> '' AND problem <> '')
+SELECT item_id, count(DISTINCT query_type) = 6 AND count(DISTINCT lower(phrase)) = 6 AND bool_and(length(phrase) <= 100 AND len(string_split(phrase, ' ')) BETWEEN 2 AND 14) AS valid FROM p GROUP BY 1""",
+)
+def _(t, spark) -> DataFrame:
+    ok = (F.length("phrase") <= 100) & F.size(F.split("phrase", " ")).between(2, 14)
+    g = _phrases(t).groupBy("item_id").agg(F.countDistinct("query_type").alias("a"), F.countDistinct(F.lower("phrase")).alias("b"), F.bool_and(ok).alias("c"))
+    return g.select("item_id", F.expr("a = 6 AND b = 6 AND c").alias("valid"))
+
+
+SEARCH = "list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9][a-z0-9_-]*'), lambda t: length(t) > 1 AND t NOT IN (%s))" % ", ".join(f"'{w}'" for w in phrases.SEARCH_STOP_WORDS)  # noqa: UP031
+GOOD = "list_filter(%s, lambda t: t NOT IN (%s))" % (SEARCH, ", ".join(f"'{w}'" for w in phrases.GENERIC_TERMS))  # noqa: UP031
+
+
+@query(
+    "compact_queries",
+    f"SELECT doc_id, CASE WHEN len({GOOD}) > 0 THEN array_to_string(({GOOD})[1:2], ' ') WHEN len({SEARCH}) > 0 THEN array_to_string(({SEARCH})[1:2], ' ') ELSE rtrim(left(trim(regexp_replace(text, '\\s+', ' ', 'g')), 200)) END AS term FROM documents",
+)
+def _(t, spark) -> DataFrame:
+    return t("documents").select("doc_id", phrases.compact_query(F.col("text")).alias("term"))
+
+
+@query(
+    "or_expressions",
+    """
+WITH c AS (SELECT source, doc_id, '"' || replace(replace(lang || ' ' || n_chars, chr(92), chr(92) || chr(92)), '"', chr(92) || '"') || '"' AS clause FROM documents),
+r AS (SELECT *, sum(length(clause) + 4) OVER (PARTITION BY source ORDER BY doc_id) - 4 + CASE WHEN count(*) OVER (PARTITION BY source) > 1 THEN 2 ELSE 0 END AS upto FROM c)
+SELECT source, CASE WHEN count(*) > 1 THEN '(' || string_agg(clause, ' OR ' ORDER BY doc_id) || ')' ELSE any_value(clause) END AS expression FROM r WHERE upto <= 400 GROUP BY 1""",
+)
+def _(t, spark) -> DataFrame:
+    d = t("documents").select("source", "doc_id", F.concat_ws(" ", "lang", F.col("n_chars").cast("string")).alias("term"))
+    return discovery.or_expressions(d, "source", "doc_id", "term")
+
+
+@query("charge_mapper", "SELECT o_orderkey::VARCHAR AS id, floor(o_totalprice)::BIGINT AS amount, 0::BIGINT AS amount_refunded, CASE WHEN o_orderstatus = 'P' THEN 'unknown' ELSE 'usd' END AS currency, CASE WHEN o_orderstatus <> 'O' THEN 'cus_' || o_custkey END AS customer, o_orderstatus = 'F' AS paid FROM orders")
+def _(t, spark) -> DataFrame:
+    o = t("orders")
+    plain = F.to_json(F.struct(F.col("o_orderkey").alias("id"), F.floor("o_totalprice").alias("amount"), F.when(F.col("o_orderstatus") == "P", "").otherwise("usd").alias("currency"), F.concat(F.lit("cus_"), F.col("o_custkey")).alias("customer"), F.when(F.col("o_orderstatus") == "F", True).alias("paid")))
+    expanded = F.to_json(F.struct(F.col("o_orderkey").alias("id"), F.floor("o_totalprice").alias("amount"), F.lit("usd").alias("currency"), F.struct(F.col("o_custkey").alias("id")).alias("customer")))
+    return o.select(F.when(F.col("o_orderstatus") == "O", expanded).otherwise(plain).alias("doc")).select(*discovery.charge(F.col("doc")))
+
+
+@query(
+    "hits_to_posts",
+    """
+SELECT doc_id::VARCHAR AS source_post_id, source AS title, CASE WHEN trim(text) <> '' THEN trim(text) WHEN lang = 'en' THEN source ELSE '' END AS body,
+CASE WHEN lang = 'en' THEN 'https://x.org/' || source ELSE 'https://news.ycombinator.com/item?id=' || doc_id END AS url
+FROM documents WHERE lang IN ('en', 'fr') AND source <> 'src3' AND length(CASE WHEN trim(text) <> '' THEN trim(text) WHEN lang = 'en' THEN source ELSE '' END) >= 2""",
+)
+def _(t, spark) -> DataFrame:
+    tag = F.when(F.col("lang") == "en", "story").when(F.col("lang") == "fr", "comment").otherwise("poll")
+    tags = F.array(tag, F.when(F.col("source") == "src3", "deleted").otherwise("author"))
+    return discovery.hits_to_posts(t("documents").select(F.col("doc_id").alias("id"), tags.alias("tags"), F.col("source").alias("title"), "text", F.concat(F.lit("//x.org/"), F.col("source")).alias("url")))
+
+
+@query("recent_slice", "SELECT event_id, event_type FROM events WHERE value IS NOT NULL ORDER BY ts DESC NULLS LAST, event_id DESC LIMIT 100")
+def _(t, spark) -> DataFrame:
+    return t("events").where("value IS NOT NULL").orderBy(F.col("ts").desc_nulls_last(), F.desc("event_id")).limit(100).select("event_id", "event_type")
+
+
+@query("unambiguous_lookup", "SELECT doc_id, n_chars FROM documents WHERE n_chars IN (SELECT n_chars FROM documents GROUP BY 1 HAVING count(*) = 1)")
+def _(t, spark) -> DataFrame:
+    return discovery.unambiguous(t("documents").select("doc_id", "n_chars"), "n_chars").select("doc_id", "n_chars")
+
+
+@query("corpus_union", "SELECT doc_id, source FROM documents WHERE source IN ('src1', 'src2') OR doc_id IN (SELECT doc_id FROM labels WHERE quality = 0)")
+def _(t, spark) -> DataFrame:
+    d = t("documents").select("doc_id", "source")
+    refs = d.join(t("labels").where("quality = 0"), "doc_id", "left_semi")
+    return keys.latest(d.where(F.col("source").isin("src1", "src2")).unionByName(refs), ["doc_id"], F.col("source"))
+
+
+@query("cache_lookup", "SELECT d.doc_id, c.doc_id IS NOT NULL AS hit FROM documents d LEFT JOIN (SELECT min(doc_id) AS doc_id, md5(text) AS h FROM documents WHERE lang = 'en' GROUP BY 2) c ON md5(d.text) = c.h")
+def _(t, spark) -> DataFrame:
+    d = t("documents").select("doc_id", "lang", F.md5("text").alias("h"))
+    return d.join(d.where("lang = 'en'").groupBy("h").agg(F.lit(True).alias("c")), "h", "left").select("doc_id", F.col("c").isNotNull().alias("hit"))
+
+
+@query(
+    "paced_slots",
+    """
+WITH p AS (SELECT event_id, user_id, epoch(date_trunc('second', ts))::BIGINT AS s, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k, ts FROM events)
+SELECT event_id, (max(s - 600 * k) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) + 600 * k)::BIGINT AS slot FROM p""",
+)
+def _(t, spark) -> DataFrame:
+    return discovery.paced(t("events"), "user_id", "ts", "event_id", 600).select("event_id", "slot")
+
+
+@query("shallow_merge", "SELECT event_id, 'k' AS key, 'new' AS value FROM events WHERE event_type = 'click' UNION ALL SELECT event_id, 'k', props ->> '$.k' FROM events WHERE event_type <> 'click' AND props ->> '$.k' IS NOT NULL UNION ALL SELECT event_id, 'type', event_type FROM events")
+def _(t, spark) -> DataFrame:
+    old = F.from_json("props", "map<string,string>")
+    new = F.map_filter(F.create_map(F.lit("type"), F.col("event_type"), F.lit("k"), F.when(F.col("event_type") == "click", "new")), lambda k, v: v.isNotNull())
+    return t("events").select("event_id", F.explode(discovery.shallow_merge(old, new))).select("event_id", "key", "value")
+
+
+@query(
+    "unsubscribe",
+    f"""
+WITH o AS (SELECT o_custkey, {STATUS} AS status, o_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 250000) AS gone FROM orders)
+SELECT CASE WHEN gone AND status IN ('pending_dispatch', 'dispatch_failed') THEN 'suppressed' ELSE status END AS status, count(*) AS n FROM o GROUP BY 1""",
+)
+def _(t, spark) -> DataFrame:
+    rows = t("orders").select(F.col("o_orderkey").alias("id"), F.lit("t").alias("tenant"), F.concat(F.lit("C"), F.col("o_custkey"), F.lit("@x.org ")).alias("email"), F.col("o_orderkey").alias("token"), F.expr(STATUS).alias("status"), "o_totalprice")
+    none = rows.select("tenant", "email").limit(0)
+    return outbox.unsubscribe(rows, none, rows.where("o_totalprice > 250000"))[1].groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query("qualification", "SELECT doc_id, CASE WHEN quality = 1 THEN 'qualified' ELSE 'rejected' END AS status FROM labels")
+def _(t, spark) -> DataFrame:
+    s = F.when(F.col("quality") == 1, "ready_for_review").otherwise("rejected")
+    return t("labels").select("doc_id", outbox.qualified(s).alias("status"))
+
+
+@query("scrubbed_details")
+def _(t, spark) -> DataFrame:
+    doc = F.to_json(F.struct(F.col("event_type").alias("status"), F.col("props").alias("note"), F.struct("user_id", F.lit("secret").alias("token")).alias("inner")))
+    return t("events").select("event_id", discovery.scrub(doc).alias("details"))
+
+
 # Streams: the batch functions under Structured Streaming, run until the input is used up
 
 
