@@ -18,6 +18,8 @@ SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 13
 #: So many of a window's rarest terms are looked up in the index.
 RAREST = 3
+#: Candidates (document, item, diagonal), of 60 words each on average, up to which they are broadcast.
+MOST_CANDIDATES = 20_000
 
 
 def words(text: Column) -> Column:
@@ -42,22 +44,22 @@ def build_index(docs: DataFrame, terms: DataFrame | None = None) -> DataFrame:
 
 
 def item_windows(items: DataFrame, size: int = WINDOW) -> DataFrame:
-    """Distinct (item_id, at, phrase): each run of `size` words, or all words of a shorter item; `at` counts from 0."""
-    w = items.select("item_id", words(F.col("text")).alias("w")).where(F.size("w") > 0)
-    at = F.explode(F.sequence(F.lit(0), F.greatest(F.size("w") - F.lit(size), F.lit(0)))).alias("at")
-    return w.select("item_id", "w", at).select("item_id", "at", F.slice("w", F.col("at") + 1, size).alias("phrase")).distinct()
+    """Distinct (item_id, w, at): the item's words and where each run of `size` of them, or of all of a shorter item, begins."""
+    w = items.select("item_id", words(F.col("text")).alias("w")).where(F.size("w") > 0).distinct()
+    return w.select("item_id", "w", F.explode(F.sequence(F.lit(0), F.greatest(F.size("w") - F.lit(size), F.lit(0)))).alias("at"))
 
 
-def rarest_terms(docs: DataFrame, windows: DataFrame, rarest: int = RAREST) -> DataFrame:
+def rarest_terms(docs: DataFrame, windows: DataFrame, size: int = WINDOW, rarest: int = RAREST) -> DataFrame:
     """windows with `rare`, the window's rarest terms as (n, p, term), rarest first, p counted from the item's start.
 
     Windows with a term that no text has are left out: they occur nowhere. Terms are counted over all texts.
     """
-    terms = written(windows.select(F.explode("phrase").alias("term")).distinct().coalesce(1))
+    terms = written(windows.select(F.explode("w").alias("term")).distinct().coalesce(1))
     counts = written(tokens(docs).join(maybe_broadcast(terms), "term").groupBy("term").agg(F.count("*").alias("n")))
-    each = windows.select("item_id", "at", "phrase", F.posexplode("phrase").alias("i", "term")).join(counts, "term")
-    ranked = each.groupBy("item_id", "at", "phrase").agg(F.sort_array(F.collect_list(F.struct("n", (F.col("at") + F.col("i")).alias("p"), "term"))).alias("all"))
-    return ranked.where(F.size("all") == F.size("phrase")).select("item_id", "at", "phrase", F.slice("all", 1, rarest).alias("rare"))
+    phrase = F.slice("w", F.col("at") + 1, size)
+    each = windows.select("item_id", "w", "at", F.posexplode(phrase).alias("i", "term")).join(counts, "term")
+    ranked = each.groupBy("item_id", "w", "at").agg(F.sort_array(F.collect_list(F.struct("n", (F.col("at") + F.col("i")).alias("p"), "term"))).alias("all"))
+    return ranked.where(F.size("all") == F.least(F.size("w"), F.lit(size))).select("item_id", "w", "at", F.slice("all", 1, rarest).alias("rare"))
 
 
 def phrase_hits(docs: DataFrame, items: DataFrame, size: int = WINDOW, rarest: int = RAREST) -> DataFrame:
@@ -67,20 +69,24 @@ def phrase_hits(docs: DataFrame, items: DataFrame, size: int = WINDOW, rarest: i
     can't be reported by the index and have no hits. Extra columns are ignored.
     """
     docs, items = docs.select("doc_id", "text"), items.select("item_id", "text")
-    windows = written(rarest_terms(docs, item_windows(items, size), rarest).coalesce(8))
+    windows = written(rarest_terms(docs, item_windows(items, size), size, rarest).coalesce(8))
     anchors = windows.select("item_id", F.explode("rare").alias("r")).select("item_id", "r.p", "r.term").distinct()
     index = build_index(docs, written(anchors.select("term").distinct().coalesce(1)))
     # Lists moved back by the term's place in the item: what lies on one diagonal may be one phrase.
     moved = index.join(anchors, "term").select("item_id", "doc_id", "p", F.explode("positions").alias("pos"))
     met = moved.groupBy("item_id", "doc_id", (F.col("pos") - F.col("p")).alias("diagonal")).agg(F.collect_set("p").alias("met"))
-    needs = windows.groupBy("item_id").agg(F.collect_list(F.struct("at", "phrase", F.col("rare.p").alias("ps"))).alias("ws"))
-    pairs = met.join(needs, "item_id").select("item_id", "doc_id", "diagonal", F.explode(F.filter("ws", lambda x: F.size(F.array_except(x["ps"], "met")) == 0)).alias("x"))
-    found = pairs.where(F.col("diagonal") + F.col("x.at") >= 0).select("item_id", "doc_id", (F.col("diagonal") + F.col("x.at")).alias("start"), F.col("x.phrase").alias("phrase"))
-    by_doc = written(found.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "start", "phrase")).alias("maybe")))
-    confirmed = F.filter("maybe", lambda c: F.slice("w", c["start"] + 1, F.size(c["phrase"])) == c["phrase"])
-    hits = F.transform(confirmed, lambda c: F.struct(c["item_id"].alias("item_id"), c["start"].alias("start"), F.size(c["phrase"]).alias("length")))
-    known = docs.join(maybe_broadcast(by_doc, 50_000), "doc_id", "left").withColumn("w", words(F.col("text")))
-    return known.select("doc_id", F.size("w").cast("long").alias("n_words"), F.coalesce(hits, F.array()).alias("hits"))
+    needs = windows.groupBy("item_id", "w").agg(F.collect_list(F.struct("at", F.col("rare.p").alias("ps"))).alias("ws"))
+    fits = F.filter("ws", lambda x: (F.size(F.array_except(x["ps"], "met")) == 0) & (F.col("diagonal") + x["at"] >= 0))
+    found = met.join(needs, "item_id").select("item_id", "doc_id", "diagonal", "w", fits["at"].alias("ats")).where(F.size("ats") > 0)
+    by_doc = written(found.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "diagonal", "w", "ats")).alias("maybe")))
+    length = lambda c: F.least(F.size(c["w"]), F.lit(size))
+    same = lambda c, at: F.slice("words", c["diagonal"] + at + 1, length(c)) == F.slice(c["w"], at + 1, length(c))
+    confirmed = F.transform("maybe", lambda c: F.transform(F.filter(c["ats"], lambda at: same(c, at)), lambda at: F.struct(c["item_id"].alias("item_id"), (c["diagonal"] + at).alias("start"), length(c).alias("length"))))
+    # Candidates of few, short texts are broadcast; else the texts are shuffled by doc_id.
+    n = by_doc.agg(F.coalesce(F.sum(F.size("maybe")), F.lit(0)), F.coalesce(F.sum(F.expr("aggregate(maybe, 0L, (a, c) -> a + size(c.w))")), F.lit(0))).first()
+    small = F.broadcast(by_doc) if n[0] <= MOST_CANDIDATES and n[1] <= 60 * MOST_CANDIDATES else by_doc
+    known = docs.join(small, "doc_id", "left").select("doc_id", words(F.col("text")).alias("words"), "maybe")
+    return known.select("doc_id", F.size("words").cast("long").alias("n_words"), F.coalesce(F.flatten(confirmed), F.array()).alias("hits"))
 
 
 def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
