@@ -19,6 +19,13 @@ SENSITIVE = (
     r"|(?:political\s+(?:party|affiliation)|voting\s+history|election\s+campaign)"
     r"|(?:minor(?:s)?|under\s*(?:13|16|18)|child(?:ren)?|teen(?:ager)?s?))\b"
 )
+# Words of a request, of a first person, and of a publisher.
+REQUEST = (
+    r"(?iU)\b(?:ask\s+hn|need(?:s)?|looking\s+for|recommend(?:ation|ations)?|advice|help|struggl(?:e|ing)|stuck|trying\s+to|switch(?:ing)?|replace"
+    r"|dropped|dropping|stalled|failing|failed|stopped\s+working|losing|manual(?:ly)?|by\s+hand|takes?\s+forever|too\s+much\s+time)\b"
+)
+FIRST_PERSON = r"(?iU)\b(?:i|we|my|our|us)\b"
+PUBLISHER = r"(?iU)\b(?:show\s+hn|launch(?:ed|ing)?|release(?:d|s|\s+notes)?|changelog|tutorial|guide|case\s+study|blog(?:\s+post)?|content\s+strategy|positioning|product\s+critique)\b"
 TOKEN = "[a-z0-9][a-z0-9_-]*"
 
 
@@ -143,3 +150,10 @@ def outbox_state(status: Column) -> Column:
         .when(status.isin("provider_accepted", "delivered", "sent"), "cooldown")
         .when(status == "suppressed", "suppressed")
     )
+
+
+def has_buyer_context(c: Column) -> Column:
+    """Whether a text asks for something or speaks in the first person; a publisher's only in the first person."""
+    c = F.coalesce(normalize_space(c), F.lit(""))
+    first = c.rlike(FIRST_PERSON)
+    return (c.rlike(REQUEST) | first) & (first | ~c.rlike(PUBLISHER))

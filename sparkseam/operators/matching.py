@@ -71,6 +71,12 @@ def overlaps(queries: DataFrame, posts: DataFrame, fraction: float, stop_words:
     return p.join(q, "token").groupBy("query_id", "post_id", "need").agg(F.count("*").alias("overlap")).where("overlap >= need").select("query_id", "post_id", "overlap")
 
 
+def plausible(queries: DataFrame, posts: DataFrame, fraction: float = 0.15) -> DataFrame:
+    """(query_id, post_id, overlap) of overlaps() whose post reads like a buyer's; a query's tokens decide, not its phrase."""
+    fit = posts.where(X.has_buyer_context(F.col("text"))).select(F.col("id").alias("post_id"))
+    return overlaps(queries, posts, fraction).join(fit, "post_id", "left_semi").select("query_id", "post_id", "overlap")
+
+
 def exact_evidence(queries: DataFrame, posts: DataFrame, before: int = 500, after: int = 800, cap: int = 2000) -> DataFrame:
     """(query_id, post_id, at, excerpt): posts whose text holds the query's compact phrase, and the words around it.
 

@@ -95,6 +95,25 @@ def _(t, spark) -> DataFrame:
     return matching.overlaps(q, p, 0.5).select(F.col("query_id").alias("item_id"), F.col("post_id").alias("doc_id"), "overlap")
 
 
+def _re2(pattern: str) -> str:
+    """A pattern of the library with word boundaries for RE2, which knows ASCII ones only."""
+    return pattern.replace(r"(?iU)\b", r"(?i)(?:^|[^\pL\pN_])").removesuffix(r"\b") + r"(?:$|[^\pL\pN_])"
+
+
+@query(
+    "plausible_posts",
+    f"""
+WITH q AS (SELECT item_id, {TOKENS} AS t FROM benchmark), p AS (SELECT doc_id, unnest({TOKENS}) AS token FROM documents),
+x AS (SELECT item_id, greatest(1, ceil(len(t) * 0.3::DOUBLE))::INT AS need, unnest(t) AS token FROM q WHERE len(t) > 0),
+o AS (SELECT item_id, doc_id, count(*) AS overlap FROM x JOIN p USING (token) GROUP BY item_id, doc_id, need HAVING count(*) >= need)
+SELECT item_id, doc_id, overlap FROM o JOIN documents USING (doc_id)
+WHERE (regexp_matches(text, '{_re2(X.REQUEST)}') OR regexp_matches(text, '{_re2(X.FIRST_PERSON)}')) AND (regexp_matches(text, '{_re2(X.FIRST_PERSON)}') OR NOT regexp_matches(text, '{_re2(X.PUBLISHER)}'))""",
+)
+def _(t, spark) -> DataFrame:
+    q, p = t("benchmark").select(F.col("item_id").alias("id"), "text"), t("documents").select(F.col("doc_id").alias("id"), "text")
+    return matching.plausible(q, p, 0.3).select(F.col("query_id").alias("item_id"), F.col("post_id").alias("doc_id"), "overlap")
+
+
 TERM = "array_to_string(string_split(trim(regexp_replace(regexp_replace(replace(replace(trim(regexp_replace(text, '\\s+', ' ', 'g')), '\"', ''), chr(39), ''), '[^\\pL\\pN_\\s#.-]', ' ', 'g'), '\\s+', ' ', 'g')), ' ')[1:14], ' ')"
 
 
@@ -226,11 +245,7 @@ def _(t, spark) -> DataFrame:
     return t("documents").select("doc_id", F.md5(X.redact_contacts(F.col("text"))).alias("text_md5"))
 
 
-# RE2 knows ASCII word boundaries only.
-SENSITIVE = X.SENSITIVE.replace("(?iU)\\b", r"(?i)(?:^|[^\pL\pN_])").removesuffix(r"\b") + r"(?:$|[^\pL\pN_])"
-
-
-@query("sensitive_posts", f"SELECT doc_id FROM documents WHERE regexp_matches(text, '{SENSITIVE}')")
+@query("sensitive_posts", f"SELECT doc_id FROM documents WHERE regexp_matches(text, '{_re2(X.SENSITIVE)}')")
 def _(t, spark) -> DataFrame:
     return t("documents").where(X.is_sensitive(F.col("text"))).select("doc_id")
 

@@ -52,6 +52,11 @@ def test_match_status(spark):
     assert got == ["ready_for_review", "discovery_candidate", "rejected", "rejected", "rejected"]
 
 
+def test_buyer_context(spark):
+    for text, want in (("Show HN: launching our guide", True), ("A tutorial: switching tools", False), ("Looking  for help", True), ("nothing here", False), (None, False), ("éus tools", False)):
+        assert one(spark, X.has_buyer_context(F.col("t")), t=text) is want, text
+
+
 def test_recall_topk_against_brute_force(spark):
     r = np.random.default_rng(1)
     v = r.standard_normal((60, 4))
