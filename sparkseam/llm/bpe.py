@@ -8,6 +8,7 @@ turns the rows into the ids of a word, and, joined with the vocabulary, back int
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
 import re
 from collections.abc import Callable, Iterable, Iterator
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: Words encoded by one query, and strings that a task keeps.
-WORDS_AT_ONCE, STRINGS_KEPT = 40_000, 600_000
+WORDS_AT_ONCE, STRINGS_KEPT = 10_000, 300_000
 #: Longer words contract all occurrences of the pair that do not overlap at once, which has the same end.
 LONG = 48
 
@@ -109,7 +110,7 @@ class Encoder:
         ranks = load_ranks(path)
         pairs = [(ranks[t[:k]], ranks[t[k:]], r) for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
         a, b, r = (pa.array(x, pa.int32()) for x in zip(*pairs, strict=True))
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "250MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "150MB"})
         self.db.execute("SET preserve_insertion_order = false")
         self.put("merges", pa.table({"a": a, "b": b, "rank": r}))
         self.put("vocabulary", pa.table({"id": pa.array(ranks.values(), pa.int32()), "hex": [t.hex() for t in ranks]}))
@@ -145,7 +146,7 @@ class Encoder:
         for k, i, h in self.db.execute(query + END).fetchall():
             out[words[k]] = (i.encode(), bytes.fromhex(h))
 
-    def texts(self, texts: Iterable[str | None], most_chars: int = 4_000_000) -> Iterator[tuple[bytes, bytes]]:
+    def texts(self, texts: Iterable[str | None], most_chars: int = 1_000_000) -> Iterator[tuple[bytes, bytes]]:
         """For each text its ids in decimal, joined by a space, and the bytes decoded from them."""
         held, chars = [], 0
         for t in texts:
@@ -163,14 +164,19 @@ class Encoder:
             yield b" ".join(map(ids, words)), b"".join(map(back, words))
 
 
+@functools.cache
+def encoder(path: str) -> Encoder:
+    """The worker's Encoder: Spark's Python workers go on to further tasks, and then know the usual words."""
+    return Encoder(path)
+
+
 def encoded(docs: DataFrame, schema: str, columns: Callable[[pa.RecordBatch, list[tuple[bytes, bytes]]], list], path: str | None = None) -> DataFrame:
-    """docs through an Encoder per task; columns(batch, pairs of ids and bytes) gives the arrays of `schema`."""
+    """docs through the worker's Encoder; columns(batch, pairs of ids and bytes) gives the arrays of `schema`."""
     path = path or public_tokenizers.path(RANKS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, enc = [c.split()[0] for c in schema.split(", ")], None
+        names, enc = [c.split()[0] for c in schema.split(", ")], encoder(path)
         for b in batches:
-            enc = enc or Encoder(path)
             for at in range(0, b.num_rows, 1000):
                 part = b.slice(at, 1000)
                 yield pa.RecordBatch.from_arrays(columns(part, list(enc.texts(part.column("text").to_pylist()))), names)
