@@ -23,7 +23,7 @@ from sparkseam.llm.common import n_parts, written
 LENGTH = 50
 KMER = 20
 #: Bytes of text worked on at once, and bytes of a shard of stretches.
-PIECE, SHARD = 1 << 20, 1 << 17
+PIECE, SHARD = 1 << 19, 1 << 17
 #: Closes a stretch: never a byte of UTF-8.
 END = 255
 #: Merged spans up to which they are broadcast.
@@ -276,7 +276,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     keyed = docs.select(F.struct(*docs.columns).alias("d"), "text", F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc"), F.xxhash64("text").alias("row"))
-    buckets = min(60_000, 2 * n_parts(spark))
+    buckets = min(60_000, 4 * n_parts(spark))
     dealt = keyed.select("doc", "row", "text").mapInArrow(lambda it: _dealt(it, buckets), STRETCHES)
     spans = written(dealt.groupBy("bucket").applyInArrow(_classified, SPANS))
 
