@@ -1,10 +1,11 @@
 """Language-model scores by logistic context mixing of bit predictors, and an add-one unigram baseline.
 
 A text is a sequence of bytes (A-Z lower-cased) and an end symbol. Each symbol is written in the bits of a prefix code
-that depends on the symbol before it. For every bit, predictors look up how often it was 1 in their hashed context; their
+that depends on the symbol before it. For every bit, predictors look up how often it was 1 in their context; their
 log odds are combined by weights that a gate selects from how sure the predictors are, plus a part that is
-refined online from block to block of the text. Tables are counted over all training texts; a text's own refinement
-starts anew, so that its score doesn't depend on its neighbours.
+refined online from block to block of the text. All pairs of a context and its next symbol are counted over all training
+texts: chunks of texts send their distinct pairs, dealt by context, and get back the log odds along each pair's bits. A
+text's own refinement starts anew, so that its score doesn't depend on its neighbours.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +24,7 @@ from sparkseam.llm.common import written
 
 END = 256
 SYMBOLS = 257
-#: Slots of a predictor's table: 2^SLOT_BITS.
+#: Slots of a predictor's table where one is kept in memory (tally(), contexts()): 2^SLOT_BITS. scored() keeps every context.
 SLOT_BITS = 21
 PREDICTORS = 3
 #: A predictor's log odds count as surer beyond each of its cuts; a gate is a combination.
@@ -30,9 +32,11 @@ CUTS = ((0.7, 2.5), (1.5,), (0.5, 1.2, 2.5, 4.5))
 GATES = 30
 #: Bytes of text between two refinements of a text's weights, and the step.
 BLOCK, RATE = 512, 0.02
-#: So many training texts, those of the lowest hash of doc_id, aren't counted into the tables: the weights are fitted to them.
-TUNING_TEXTS = 200
-CHUNK_BYTES = 16_000_000
+#: Of so many training texts one, by the hash of doc_id, is what the weights are fitted to, with the counts of the others only.
+TUNING_TEXTS = 16
+CHUNK_BYTES = 6_000_000
+#: Bytes of text whose pairs of one predictor meet in one task.
+BUCKET_BYTES = 16_000_000
 PIECE = 1 << 18
 #: Log odds are kept in steps of 1 / STEPS, within a signed byte.
 STEPS = 16
@@ -115,14 +119,76 @@ def contexts(s: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
     return [four, five, (word >> np.uint64(32)).astype(np.uint32)]
 
 
+def pair_keys(s: np.ndarray, n: np.ndarray, taught: np.ndarray) -> list[np.ndarray]:
+    """For each predictor a key of each symbol: 45 bits of the context, 9 of the symbol before, 9 of the symbol, 1 if taught.
+
+    Contexts of four and five symbols are kept whole, that of the word so far as a hash.
+    """
+    wide = np.concatenate([np.zeros(5, np.uint64), s.astype(np.uint64) + np.uint64(1)])
+    starts = np.cumsum(n) - n
+    back = []
+    for k in range(2, 6):
+        back.append(wide[5 - k : len(wide) - k].copy())
+        for j in range(k):
+            back[-1][starts[n > j] + j] = 0
+    four = back[0] | back[1] << np.uint64(9) | back[2] << np.uint64(18)
+    power, shrink = _powers(len(s) + 1)
+    run = np.zeros(len(s) + 1, np.uint64)
+    np.cumsum(wide[5:] * power[:-1], out=run[1:])
+    begins = np.concatenate([[0], np.flatnonzero((s == 32) | ((s >= 9) & (s <= 13)) | (s == END)) + 1])
+    begins = begins[begins < len(s)]
+    long = np.diff(np.append(begins, len(s)))
+    word = (run[:-1] - np.repeat(run[begins], long)) * np.repeat(shrink[begins], long)
+    word ^= word >> np.uint64(32)
+    before = befores(s).astype(np.uint64)
+    before[starts] = END
+    low = before << np.uint64(10) | s.astype(np.uint64) << np.uint64(1) | taught
+    # An odd factor modulo 2^45 keeps different contexts apart and evens out the buckets.
+    return [(c * np.uint64(0x9E3779B97F4A7C15)) << np.uint64(19) | low for c in (four, four | back[3] << np.uint64(27), word)]
+
+
+def pairs_of(u: np.ndarray) -> np.ndarray:
+    """Place in the prefix code's tables of pair keys without their last bit."""
+    return ((u >> np.uint64(9)) & np.uint64(511)).astype(np.int64) * SYMBOLS + (u & np.uint64(511)).astype(np.int64)
+
+
+def _all_keys(texts: pa.Array, learns: pa.Array) -> list[np.ndarray]:
+    """pair_keys() of many texts, piece by piece."""
+    got: list[list[np.ndarray]] = [[] for _ in range(PREDICTORS)]
+    learn, at = np.array(learns.to_pylist(), np.uint64), 0
+    for some in _groups(texts):
+        s, n = symbols(some)
+        for c, key in zip(got, pair_keys(s, n, np.repeat(learn[at : at + len(some)], n)), strict=True):
+            c.append(key)
+        at += len(some)
+    return [np.concatenate(c) for c in got]
+
+
+def places(keys: list[np.ndarray], size: np.ndarray) -> list[np.ndarray]:
+    """For each predictor and symbol, where in the chunk's table of its distinct pairs, in order, the symbol's bits begin."""
+    out = []
+    for k in range(PREDICTORS):
+        key, keys[k] = keys[k] >> np.uint64(1), None
+        order = np.argsort(key)
+        key = key[order]
+        new = np.concatenate([[True], key[1:] != key[:-1]])
+        ends = np.cumsum(size[pairs_of(key[new])], dtype=np.int64)
+        begins = np.concatenate([[0], ends[:-1]])
+        place = np.empty(len(key), np.int64 if ends[-1] >> 31 else np.int32)
+        place[order] = begins[np.cumsum(new) - 1]
+        out.append(place)
+    return out
+
+
 class Bits:
     """The bits of a run of symbols: which symbol each belongs to, its value, and its slot for each predictor."""
 
-    def __init__(self, s: np.ndarray, n: np.ndarray, code: np.ndarray, size: np.ndarray) -> None:
+    def __init__(self, s: np.ndarray, n: np.ndarray, code: np.ndarray, size: np.ndarray, found: list[np.ndarray] | None = None) -> None:
         pair = befores(s).astype(np.int64) * SYMBOLS + s
         starts = np.cumsum(n) - n
         pair[starts] = END * SYMBOLS + s[starts].astype(np.int64)
-        self.code, self.size, self.contexts = code[pair], size[pair].astype(np.int64), contexts(s, n)
+        self.code, self.size, self.found = code[pair], size[pair].astype(np.int64), found is not None
+        self.contexts = contexts(s, n) if found is None else found
         self.ends = np.cumsum(self.size)
 
     def piece(self, a: int, b: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -132,6 +198,9 @@ class Bits:
         left = (np.repeat(self.ends[a:b] - (self.ends[a] - self.size[a]), size) - 1 - np.arange(len(of))).astype(np.uint32)
         word = self.code[a:b][of]
         bit = (word >> left) & np.uint32(1) == 1
+        if self.found:
+            depth = (size[of] - 1 - left).astype(np.int32)
+            return of, bit, [c[a:b][of] + depth for c in self.contexts]
         node = (word >> left >> np.uint32(1)) * np.uint32(0x9E3779B1)
         slots = []
         for c in self.contexts:
@@ -190,36 +259,48 @@ class Mixer:
         """Each predictor's log odds, in steps."""
         return [o[k] for o, k in zip(self.odds, slots, strict=True)]
 
-    def tune(self, texts: list[str | None], rounds: int = 15) -> None:
-        """Fits the weights of each gate to texts that the tables don't hold, by Newton steps."""
-        s, n = symbols(texts)
-        if not len(s):
-            return
-        b = Bits(s, n, self.code, self.size)
-        x, y = [], []
+    def seen(self, b: Bits) -> tuple[np.ndarray, np.ndarray]:
+        """The kinds of bits, each predictor's log odds and the bit's value in one number, and how many there are of each."""
+        got, n = [], []
         for a, e in b.pieces():
             _, bit, slots = b.piece(a, e)
-            x.append(np.stack(self.inputs(slots), 1))
-            y.append(bit)
-        x, y = np.concatenate(x), np.concatenate(y)
-        g = gate(list(x.T))
-        for k in range(GATES):
-            if (rows := g == k).sum() < 50:
+            kind = bit.astype(np.uint32)
+            for x in self.inputs(slots):
+                kind = kind << np.uint32(8) | x.view(np.uint8)
+            for c, v in zip((got, n), np.unique(kind, return_counts=True), strict=True):
+                c.append(v)
+        kinds, of = np.unique(np.concatenate(got), return_inverse=True)
+        return kinds, np.bincount(of, np.concatenate(n), len(kinds)).astype(np.int64)
+
+    def sums(self, kinds: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """For each gate the sums of a Newton step over kinds of bits: second derivatives, slopes, bits."""
+        x = [((kinds >> np.uint32(8 * (PREDICTORS - 1 - k))) & np.uint32(255)).astype(np.uint8).view(np.int8) for k in range(PREDICTORS)]
+        g, v = gate(x), np.stack(x, 1) / STEPS
+        p = sigmoid(np.clip((v * self.weights[g]).sum(1), -20, 20))
+        terms = [v[:, i] * v[:, j] * (p * (1 - p) * n) for i in range(PREDICTORS) for j in range(PREDICTORS)]
+        terms += [v[:, i] * ((p - (kinds >> np.uint32(8 * PREDICTORS))) * n) for i in range(PREDICTORS)] + [n]
+        return np.stack([np.bincount(g, c, GATES) for c in terms], 1)
+
+    def step(self, sums: np.ndarray) -> float:
+        """One Newton step of each gate's weights; the largest change."""
+        most = 0.0
+        for k, c in enumerate(sums):
+            if c[-1] < 50:
                 continue
-            v, t, w = x[rows] / STEPS, y[rows], self.weights[k].astype(float)
-            for _ in range(rounds):
-                p = sigmoid(np.clip(v @ w, -20, 20))
-                step = np.linalg.solve((v.T * (p * (1 - p))) @ v + np.eye(PREDICTORS), v.T @ (p - t) + 0.1 * (w - 0.4))
-                w -= np.clip(step, -0.5, 0.5)
-            self.weights[k] = w
-
-    def log10(self, texts: list[str | None]) -> np.ndarray:
+            w = self.weights[k].astype(float)
+            step = np.linalg.solve(c[: PREDICTORS**2].reshape(PREDICTORS, PREDICTORS) + np.eye(PREDICTORS), c[PREDICTORS**2 : -1] + 0.1 * (w - 0.4))
+            step = np.clip(step, -0.5, 0.5)
+            self.weights[k] = w - step
+            most = max(most, float(np.abs(step).max()))
+        return most
+
+    def log10(self, texts: list[str | None], found: list[np.ndarray] | None = None) -> np.ndarray:
         """The log10 probability of each text: its bits' log odds mixed, weights refined after each block."""
         s, n = symbols(texts)
         total = np.zeros(len(n))
         if not len(s):
             return total
-        b, ends = Bits(s, n, self.code, self.size), np.cumsum(n)
+        b, ends = Bits(s, n, self.code, self.size, found), np.cumsum(n)
         own = np.zeros((len(n), PREDICTORS), np.float32)
         for r in range(int(-(-n.max() // BLOCK))):
             live = np.flatnonzero(n > r * BLOCK)
@@ -260,7 +341,7 @@ def b_gather(b: Bits, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray,
     n = last - first
     at = np.arange(n.sum()) + np.repeat(first - (np.cumsum(n) - n), n)
     some = object.__new__(Bits)
-    some.code, some.size, some.contexts = b.code[at], b.size[at], [c[at] for c in b.contexts]
+    some.code, some.size, some.found, some.contexts = b.code[at], b.size[at], b.found, [c[at] for c in b.contexts]
     some.ends = np.cumsum(some.size)
     return some.piece(0, len(at))
 
@@ -281,11 +362,10 @@ def _groups(col: pa.Array, most: int = 2_000_000) -> Iterator[list[str | None]]:
         yield held
 
 
-def fit(docs: DataFrame, total: int) -> Mixer:
-    """A mixer whose code and tables are counted over all training rows of docs (doc_id, text), of `total` bytes."""
-    spark = docs.sparkSession
+def fit_code(docs: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """The prefix code of all training rows of docs (doc_id, text), of `total` bytes."""
     rows = docs.where(learns(F.col("doc_id")))
-    tasks = max(spark.sparkContext.defaultParallelism, total >> 29)
+    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, total >> 29)
 
     def pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = np.zeros(SYMBOLS * SYMBOLS, np.int64)
@@ -299,39 +379,71 @@ def fit(docs: DataFrame, total: int) -> Mixer:
     pairs = np.zeros(SYMBOLS * SYMBOLS, np.int64)
     got = rows.select("text").coalesce(tasks).mapInArrow(pair_counts, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
     pairs[got["pair"].to_numpy()] = got["n"].to_numpy()
-    code, size = prefix_code(pairs)
-
-    hashed = F.xxhash64("doc_id")
-    tuning = rows.select(hashed.alias("h"), "doc_id").orderBy("h", "doc_id").limit(TUNING_TEXTS).agg(F.max("h")).first()[0]
-    held = rows.where(hashed <= tuning) if tuning is not None else rows
-    rows = rows.where(hashed > tuning) if tuning is not None else rows
-    part = 1 << 16
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = np.zeros((PREDICTORS, 2 << SLOT_BITS), np.uint32)
-        for b in batches:
-            for some in _groups(b.column("text")):
-                tally(c, Bits(*symbols(some), code, size))
-        for k in range(PREDICTORS):
-            for at in range(0, 1 << SLOT_BITS, part):
-                if (some := c[k, 2 * at : 2 * (at + part)]).any():
-                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([at // part], pa.int32()), pa.array([some.tobytes()], pa.binary())], ["k", "at", "counts"])
-
-    def add(key: tuple, t: pa.Table) -> pa.Table:
-        c = np.zeros(2 * part, np.int64)
-        for x in t["counts"]:
-            c += np.frombuffer(x.as_buffer(), np.uint32)
-        odds = log_odds(c)
-        return pa.table({"k": [key[0].as_py()], "at": [key[1].as_py()], "odds": [odds.tobytes()]}, schema=pa.schema([("k", pa.int32()), ("at", pa.int32()), ("odds", pa.binary())]))
-
-    counted = rows.select("text").coalesce(tasks).mapInArrow(count, "k int, at int, counts binary")
-    odds = [np.zeros(1 << SLOT_BITS, np.int8) for _ in range(PREDICTORS)]
-    # The model has a fixed size: PREDICTORS tables of 2^SLOT_BITS bytes.
-    for r in counted.groupBy("k", "at").applyInArrow(add, "k int, at int, odds binary").toLocalIterator():
-        odds[r.k][r.at * part : (r.at + 1) * part] = np.frombuffer(r.odds, np.int8)
-    mixer = Mixer(code, size, odds)
-    mixer.tune([r.text for r in held.select("text").limit(TUNING_TEXTS).collect()])
-    return mixer
+    return prefix_code(pairs)
+
+
+def answered(t: pa.Table, code: np.ndarray, size: np.ndarray) -> pa.Table:
+    """For chunks' pairs of one bucket (chunk, id, keys, counts) the log odds along their bits; for a tuning chunk also those
+    without the counts of tuning chunks (apart). All pairs of a context are in one bucket."""
+    keys = [np.frombuffer(x.as_buffer(), np.uint64) for x in t["keys"]]
+    chunk, n = t["chunk"].to_numpy(), np.array([len(k) for k in keys])
+    counts = np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in t["counts"]]).astype(np.int64)
+    key = np.concatenate(keys)
+    order = np.argsort(key)
+    new = np.concatenate([[True], key[order][1:] != key[order][:-1]])
+    u, begin = key[order][new], np.flatnonzero(new)
+    of_key = np.empty(len(key), np.int64)
+    of_key[order] = np.cumsum(new) - 1
+    pair = pairs_of(u)
+    sizes = size[pair].astype(np.int64)
+    ends = np.cumsum(sizes)
+    # The nodes of a context's code that its pairs pass, and each pair's counts added at every one.
+    of = np.repeat(np.arange(len(u)), sizes)
+    left = (np.repeat(ends, sizes) - 1 - np.arange(len(of))).astype(np.uint32)
+    word = code[pair][of]
+    context = np.cumsum(np.concatenate([[False], u[1:] >> np.uint64(9) != u[:-1] >> np.uint64(9)])).astype(np.uint64)
+    _, node = np.unique(context[of] << np.uint64(32) | word >> left >> np.uint32(1), return_inverse=True)
+    value = 2 * node + ((word >> left) & np.uint32(1))
+
+    def odds(c: np.ndarray) -> np.ndarray:
+        c = np.add.reduceat(c[order], begin)
+        return log_odds(np.bincount(value, c[of], 2 * int(node.max()) + 2))[node]
+
+    tuning = chunk < 0
+    every, some = odds(counts), odds(np.where(np.repeat(tuning, n), 0, counts)) if tuning.any() else None
+    got, apart, at = [], [], 0
+    for m, tune in zip(n, tuning, strict=True):
+        k = of_key[at : at + m]
+        at += m
+        path = np.repeat(ends[k] - np.cumsum(sizes[k]), sizes[k]) + np.arange(sizes[k].sum())
+        got.append(every[path].tobytes())
+        apart.append(some[path].tobytes() if tune else None)
+    return pa.table([t["chunk"], t["id"], pa.array(got, pa.binary()), pa.array(apart, pa.binary())], ["chunk", "id", "odds", "apart"])
+
+
+def _tables(id_: pa.ChunkedArray, odds: pa.ChunkedArray, buckets: int) -> list[np.ndarray]:
+    """Each predictor's table of a chunk from its buckets' answers."""
+    ids, parts = id_.to_numpy(), odds.to_pylist()
+    order = np.argsort(ids)
+    return [np.frombuffer(b"".join(parts[r] for r in order if ids[r] // buckets == k), np.int8) for k in range(PREDICTORS)]
+
+
+def fit_weights(mixer: Mixer, met: DataFrame, rounds: int = 15) -> None:
+    """Fits the weights of each gate to all bits of tuning texts (kinds, n), by Newton steps on sums that Spark adds up."""
+    for _ in range(rounds):
+
+        def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            c = np.zeros((GATES, PREDICTORS * (PREDICTORS + 1) + 1))
+            for b in batches:
+                for kinds, n in zip(b.column("kinds"), b.column("n"), strict=True):
+                    c += mixer.sums(np.frombuffer(kinds.as_buffer(), np.uint32), np.frombuffer(n.as_buffer(), np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(c.size)), pa.array(c.ravel())], ["at", "v"])
+
+        sums = np.zeros((GATES, PREDICTORS * (PREDICTORS + 1) + 1))
+        got = met.mapInArrow(part, "at long, v double").groupBy("at").agg(F.sum("v").alias("v")).toArrow()
+        sums.ravel()[got["at"].to_numpy()] = got["v"].to_numpy()
+        if mixer.step(sums) < 1e-3:
+            break
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -342,17 +454,59 @@ def tokens(text: str | None) -> list[bytes]:
 
 
 def scored(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; see fit() and tokens().
+    """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; see fit_weights() and tokens().
 
     Null and empty texts have one token, the end. Rows without doc_id are learned from. Repeated rows count as often as
-    they stand there. Texts are dealt into chunks by a hash, a chunk's distinct tokens fetch their counts by a join.
+    they stand there. Texts are dealt into chunks by a hash, those that tune the weights into chunks of their own, below zero. A
+    chunk's distinct tokens fetch their counts by a join, its distinct pairs their log odds from the buckets.
     """
     docs = docs.select("doc_id", "text")
     spark = docs.sparkSession
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    mixer = spark.sparkContext.broadcast(fit(docs, total))
-    chunks = 1 + total // CHUNK_BYTES
-    dealt = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", F.substring("text", 1, 200)), F.lit(chunks)).alias("chunk"), learns(F.col("doc_id")).alias("learns")).repartition("chunk")
+    code, size = fit_code(docs, total)
+    coded = spark.sparkContext.broadcast((code, size))
+    chunks, tuning_chunks, buckets = 1 + total // CHUNK_BYTES, 1 + total // CHUNK_BYTES // TUNING_TEXTS, 1 + total // BUCKET_BYTES
+    deal, tunes = F.xxhash64("doc_id", F.substring("text", 1, 200)), learns(F.col("doc_id")) & (F.pmod(F.xxhash64("doc_id"), F.lit(TUNING_TEXTS)) == 0)
+    chunk = F.when(tunes, -1 - F.pmod(deal, F.lit(tuning_chunks))).otherwise(F.pmod(deal, F.lit(chunks)))
+    dealt = docs.select("doc_id", "text", chunk.alias("chunk"), learns(F.col("doc_id")).alias("learns")).repartition("chunk")
+
+    def pairs(t: pa.Table) -> pa.Table:
+        """A chunk's distinct pairs and how often training texts hold them, by predictor and bucket (id)."""
+        cols: tuple = ([], [], [])
+        keys = _all_keys(t["text"].combine_chunks(), t["learns"])
+        for k in range(PREDICTORS):
+            key, keys[k] = keys[k], None
+            key.sort()
+            taught = (key & np.uint64(1)).astype(np.uint32)
+            key >>= np.uint64(1)
+            begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            u, c = key[begin], np.add.reduceat(taught, begin, dtype=np.uint32)
+            bucket = (u >> np.uint64(31)) * np.uint64(buckets) >> np.uint64(32)
+            cuts = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
+            for b in np.flatnonzero(np.diff(cuts)):
+                for col, v in zip(cols, (k * buckets + int(b), u[cuts[b] : cuts[b + 1]].tobytes(), c[cuts[b] : cuts[b + 1]].tobytes()), strict=True):
+                    col.append(v)
+        return pa.table([pa.array([t["chunk"][0].as_py()] * len(cols[0]), pa.int64()), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())], ["chunk", "id", "keys", "counts"])
+
+    asks = dealt.groupBy("chunk").applyInArrow(pairs, "chunk long, id long, keys binary, counts binary")
+    answers = written(asks.groupBy("id").applyInArrow(lambda t: answered(t, *coded.value), "chunk long, id long, odds binary, apart binary"))
+
+    def seen(docs_: pa.Table, given: pa.Table) -> pa.Table:
+        texts = docs_["text"].combine_chunks()
+        found, at = places(_all_keys(texts, docs_["learns"]), coded.value[1]), 0
+        m, kinds, counts_ = Mixer(*coded.value, _tables(given["id"], given["apart"], buckets)), [], []
+        for some in _groups(texts):
+            s, n_ = symbols(some)
+            k, c = m.seen(Bits(s, n_, *coded.value, [f[at : at + len(s)] for f in found]))
+            at += len(s)
+            kinds.append(k.tobytes())
+            counts_.append(c.tobytes())
+        return pa.table([pa.array(kinds, pa.binary()), pa.array(counts_, pa.binary())], ["kinds", "n"])
+
+    fitted = Mixer(code, size, [])
+    tuned = dealt.where("chunk < 0").groupBy("chunk").cogroup(answers.where("chunk < 0").groupBy("chunk")).applyInArrow(seen, "kinds binary, n binary")
+    fit_weights(fitted, written(tuned))
+    weights = fitted.weights
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, Counter] = {}
@@ -369,9 +523,11 @@ def scored(docs: DataFrame) -> DataFrame:
     met = written(dealt.select("text", "chunk", "learns").mapInArrow(count, "chunk long, token binary, n long"))
     counts = written(met.groupBy("token").agg(F.sum("n").alias("c")))
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()
-    asked = met.select("chunk", "token").join(counts, "token").select("chunk", "token", "c")
+    asked = met.select("chunk", "token").join(counts, "token").select("chunk", "token", "c", F.lit(None).cast("long").alias("id"))
+    asked = asked.unionByName(answers.select("chunk", F.col("odds").alias("token"), F.lit(0).cast("long").alias("c"), "id"))
 
-    def score(docs_: pa.Table, words: pa.Table) -> pa.Table:
+    def score(docs_: pa.Table, given: pa.Table) -> pa.Table:
+        words, given = given.filter(pc.is_null(given["id"])), given.filter(pc.is_valid(given["id"]))
         c = np.array(words["c"].to_numpy(), float)
         value = dict(zip(words["token"].to_pylist(), np.log10(c + 1).tolist(), strict=True))
         away = np.log10(n + v + 1)
@@ -382,7 +538,15 @@ def scored(docs: DataFrame) -> DataFrame:
             counts_.append(len(got))
             known.append(int((got > 0).sum()))
             base.append(float(got.sum() - away * len(got)))
-        final = np.concatenate([mixer.value.log10(some) for some in _groups(docs_["text"].combine_chunks())])
+        m = Mixer(*coded.value, _tables(given["id"], given["token"], buckets))
+        m.weights = weights
+        final, at = [], 0
+        found = places(_all_keys(docs_["text"].combine_chunks(), docs_["learns"]), coded.value[1])
+        for some in _groups(docs_["text"].combine_chunks()):
+            long = int(symbols(some)[1].sum())
+            final.append(m.log10(some, [f[at : at + long] for f in found]))
+            at += long
+        final = np.concatenate(final)
         cols = [docs_["doc_id"], pa.array([not x for x in docs_["learns"].to_pylist()]), pa.array(counts_, pa.int64()), pa.array(known, pa.int64()), pa.array([n] * len(texts), pa.int64()), pa.array(base), pa.array(final)]
         return pa.table(cols, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 

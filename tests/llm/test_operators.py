@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import regex
 import tiktoken
@@ -263,6 +264,50 @@ def test_lm_probabilities_of_all_bits_sum_to_one():
     assert m.log10(["the cat"])[0] == pytest.approx(one[1])
 
 
+def test_lm_keeps_every_context(spark, monkeypatch):
+    """The tables aren't of a fixed size, and few texts are learned from too."""
+    t = prose(60, 11)
+    want = {r.doc_id: r.score for r in lm.scored(docs(spark, t)).collect()}
+    monkeypatch.setattr(lm, "SLOT_BITS", 4)
+    monkeypatch.setattr(lm, "CHUNK_BYTES", 3_000)
+    monkeypatch.setattr(lm, "BUCKET_BYTES", 2_000)
+    assert {r.doc_id: r.score for r in lm.scored(docs(spark, t)).collect()} == pytest.approx(want, rel=1e-4)
+    learned, size = [zlib.crc32(str(i).encode()) % 7 != 2 for i in range(60)], [len(x.encode()) for x in t]
+    of = lambda k: sum(want[i] for i in range(60) if learned[i] == k) / sum(size[i] for i in range(60) if learned[i] == k)
+    assert of(True) > -0.4 > of(False)
+
+
+def test_lm_log_odds_are_those_of_all_counts():
+    t = prose(12, 12)
+    s, n = lm.symbols(t)
+    code, size = lm.prefix_code(np.bincount(lm.befores(s).astype(np.int64) * lm.SYMBOLS + s, minlength=lm.SYMBOLS**2))
+    key = lm.pair_keys(s, n, np.ones(len(s), np.uint64))[1] >> np.uint64(1)
+    chunk = np.repeat(np.arange(12) % 3 - 1, n)
+    rows = [(c, 0, *np.unique(key[chunk == c], return_counts=True)) for c in (-1, 0, 1)]
+    asked = pa.table([pa.array(x) for x in zip(*[(c, i, k.tobytes(), m.astype(np.uint32).tobytes()) for c, i, k, m in rows], strict=True)], ["chunk", "id", "keys", "counts"])
+    got = lm.answered(asked, code, size).to_pylist()
+    count = {False: Counter(), True: Counter()}
+    paths = []
+    for i, x in enumerate(t):
+        raw, path = lm.symbols([x])[0].tolist(), []
+        for j, symbol in enumerate(raw):
+            context, at = tuple(raw[max(0, j - 5) : j]), (raw[j - 1] if j else lm.END) * lm.SYMBOLS + symbol
+            bits = f"{code[at]:b}"[1:]
+            path.append((context, symbol, bits))
+            for d in range(len(bits)):
+                count[False][context, bits[:d], bits[d]] += 1
+                count[True][context, bits[:d], bits[d]] += i % 3 != 0
+        paths.append(path)
+    for c, name in ((-1, "odds"), (0, "odds"), (1, "odds"), (-1, "apart")):
+        table = np.frombuffer(next(r for r in got if r["chunk"] == c)[name], np.int8)
+        of = [p for i in range(12) if i % 3 - 1 == c for p in paths[i]]
+        part = [key[chunk == c]]
+        keys = [part[0] << np.uint64(1)] * lm.PREDICTORS
+        for (context, _, bits), place in zip(of, lm.places(keys, size)[1], strict=True):
+            m = [[count[name == "apart"][context, bits[:d], v] for v in "01"] for d in range(len(bits))]
+            assert table[place : place + len(bits)].tolist() == lm.log_odds(np.array(m)).tolist()
+
+
 # 8
 
 
