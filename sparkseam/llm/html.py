@@ -25,6 +25,10 @@ CONTAINERS = frozenset("address article aside body button details dialog div dl
 ASIDE = frozenset("aside button dialog fieldset footer form head menu nav title".split())
 NAMED = frozenset("ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments consent contentinfo cookie cookies copyright disclaimer discussion footer header login masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promotion related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe tags toolbar topbar widget".split())
 MAIN = frozenset(("article", "main"))
+# Words that may stand beside those of NAMED in the name of a part; those of an article may not stand beside "header", which holds its title.
+BESIDE = frozenset("area bar block bottom box container content global inner item left links list main page primary right secondary section site top wrap wrapper".split())
+OF_ARTICLE = frozenset("article entry post".split())
+TALK = frozenset("comment comments discussion replies reply respond".split())
 
 
 @dataclass
@@ -37,16 +41,39 @@ class Block:
     heading: bool
 
 
-def _named(name: str) -> bool:
-    """Whether a class or id names a part that isn't the article's ("sidebar-left", but not "has-sidebar")."""
-    parts = _PART.findall(name)
-    return any(p in NAMED for p in parts) and parts[0] not in ("has", "no", "with", "without")
+@dataclass
+class Part:
+    """An open element: its flags (by its tag, by its name or as a form, as one of readers' talk) and what it holds."""
+
+    name: str
+    aside: bool
+    named: bool
+    talk: bool
+    main: bool
+    words: int = 0
+    h1s: int = 0
+    holds_main: bool = False
+
+
+def _named(name: str) -> frozenset[str]:
+    """The words of NAMED in a class or id that as a whole names a part that isn't the article's ("sidebar-left", but neither
+    "has-sidebar" nor "tag-social" nor "entry-header"); else none."""
+    parts = set(_PART.findall(name))
+    found = parts & NAMED
+    beside = parts - NAMED - BESIDE
+    return frozenset(found) if not beside or beside <= OF_ARTICLE and not found & {"header", "masthead"} else frozenset()
 
 
 def blocks(page: str) -> list[Block]:
-    """The page's non-empty text blocks in order. Unknown and unclosed markup is tolerated."""
+    """The page's non-empty text blocks in order. Unknown and unclosed markup is tolerated.
+
+    A name, or being a form, doesn't count for an element that holds main, all of the page's h1, or over half of its words.
+    Readers' talk may hold over half of the words; a form also doesn't count if it holds an article.
+    """
     out: list[Block] = []
-    open_: list[tuple[str, bool, bool]] = []
+    within_: list[list[Part]] = []
+    open_: list[Part] = []
+    h1s = 0
     text: list[str] = []
     linked: list[str] = []
     in_link, heading = False, False
@@ -55,7 +82,10 @@ def blocks(page: str) -> list[Block]:
         nonlocal text, linked
         if t := " ".join(html.unescape("".join(text)).split()):
             n = len(html.unescape("".join(linked)).split())
-            out.append(Block(t, len(t.split()), n, any(x[1] for x in open_), any(x[2] for x in open_), heading))
+            out.append(Block(t, len(t.split()), n, any(x.aside for x in open_), any(x.main for x in open_), heading))
+            within_.append(list(open_))
+            for x in open_:
+                x.words += out[-1].words
         text, linked = [], []
 
     at = 0
@@ -78,21 +108,31 @@ def blocks(page: str) -> list[Block]:
             continue
         end()
         heading = not close and name in ("h1", "h2", "h3", "h4", "h5", "h6")
+        if name == "h1" and not close:
+            h1s += 1
+            for x in open_:
+                x.h1s += 1
         if name not in CONTAINERS:
             continue
         if not close:
             main = name in MAIN or "main" in (x.lower() for y in _NAMES.findall(m[0]) for x in y if "role" in m[0].lower())
-            within = any(x[2] for x in open_)
-            named = name not in ("body", "html", "main") and any(_named(x) for y in _NAMES.findall(m[0]) for x in "".join(y).lower().split())
-            open_.append((name, named or name in ASIDE or name == "header" and not within, main))
+            within = any(x.main for x in open_)
+            for x in open_:
+                x.holds_main |= main and (name != "article" or x.name == "form")
+            found = frozenset().union(*(_named(x) for y in _NAMES.findall(m[0]) for x in "".join(y).lower().split())) if name not in ("body", "html", "main") else frozenset()
+            aside = name in ASIDE and name != "form" or name == "header" and not within
+            open_.append(Part(name, aside, bool(found) or name == "form", bool(found & TALK), main))
         else:
             for k in range(len(open_) - 1, -1, -1):
-                if open_[k][0] == name:
+                if open_[k].name == name:
                     del open_[k:]
                     break
     if at < len(page):
         text.append(page[at:])
     end()
+    half = sum(b.words for b in out) / 2
+    for b, parts in zip(out, within_, strict=True):
+        b.aside |= any(x.named and not x.holds_main and not 0 < x.h1s == h1s and (x.talk or x.words <= half) for x in parts)
     return out
 
 

@@ -169,6 +169,23 @@ def test_quality_learns_and_defines_edges(spark):
 # 5
 
 
+@pytest.mark.parametrize(
+    "open_, close",
+    [
+        ("<article class='post tag-social'><h1>Boats</h1>", "</article>"),
+        ("<div id='page' class='layout-with-sidebar'><h1>Boats</h1>", "</div>"),
+        ("<form action='/' method=post><h1>Boats</h1>", "</form>"),
+        ("<div class='sidebar'><h1>Boats</h1>", "</div>"),
+        ("<article><header class='entry-header'><h1>Boats</h1></header>", "</article>"),
+    ],
+)
+def test_html_names_of_wrappers_dont_hide_the_article(open_, close):
+    body = " ".join(["the crew went down to the quay and looked at the ropes before they sailed"] * 4)
+    page = f"<body><nav><a href=x>Home</a></nav>{open_}<p>{body}</p><p>{body}</p>{close}<div class='sidebar-left'><p>{body[:70]}</p></div><div id='comments'><article><p>Nice.</p></article></div></body>"
+    assert html.main_text(page, html.train()) == f"Boats\n\n{body}\n\n{body}"
+
+
+
 def test_html_extraction(spark):
     body = "The boats came in late that evening and the harbour was full of people who had waited since noon"
     page = f"<html><head><title>T</title><script>var a='</p>';</script></head><body><nav><a href=x>Home</a></nav><div class='has-sidebar'><article><h1>Boats</h1><p>{body} &amp;\n more<br>x</p><p>End.</p></article></div><div class='sidebar'>{body}</div><footer>{body}</footer>"
