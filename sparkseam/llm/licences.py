@@ -9,10 +9,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkseam.llm.common import UPPER, ascii_lower
+from sparkseam.llm.licence_digests import DIGESTS
 from sparkseam.llm.licence_texts import SPELLINGS, STATEMENTS, TEXTS
 
-#: A line that names the owner only.
-OWNER = r"\n[ \t]*(?:copyright|\(c\)|©)[^\n]*"
+#: A line that names the owner: copyright or its sign before a sign, a year, a place to fill in, or "by"; not a line of wording
+#: that begins with "copyright notice" or with item (c).
+OWNER = r"\n[ \t]*(?:©|&copy;|copyright[ \t:,]*(?:\(c\)|©|&copy;|[12][0-9]{3}|[\[<{]|by[ \t])|\(c\)[ \t:,]*(?:copyright|[12][0-9]{3}|[\[<{]|by[ \t]))[^\n]*"
+#: The pattern of ORACLE_SQL, which has no such distinction: a text with a line of wording that begins so has another digest there.
+SQL_OWNER = r"\n[ \t]*(?:copyright|\(c\)|©)[^\n]*"
 #: What becomes a space: all but letters, digits and line ends.
 PUNCTUATION = r"[^\p{L}\p{N}\n]+"
 
@@ -25,8 +29,15 @@ def canonical_lines(text: Column) -> Column:
     return F.regexp_replace(c, PUNCTUATION, " ")
 
 
+#: Spellings of several words, which a line end can part.
+PARTED = tuple((a, b) for a, b in SPELLINGS if " " in a)
+
+
 def whole(lines: Column) -> Column:
-    return F.trim(F.regexp_replace(lines, "[ \n]+", " "))
+    c = F.trim(F.regexp_replace(lines, "[ \n]+", " "))
+    for a, b in PARTED:
+        c = F.replace(c, F.lit(a), F.lit(b))
+    return c
 
 
 def canonical(text: str) -> str:
@@ -34,7 +45,10 @@ def canonical(text: str) -> str:
     t = re.sub(OWNER, "", "\n" + text.translate(str.maketrans(UPPER, UPPER.lower())))
     for a, b in SPELLINGS:
         t = t.replace(a, b)
-    return " ".join(re.sub(r"[^\w\n]|_", " ", t).split())
+    t = " ".join(re.sub(r"[^\w\n]|_", " ", t).split())
+    for a, b in PARTED:
+        t = t.replace(a, b)
+    return t
 
 
 def known(whole_text: bool) -> list[tuple[str, str]]:
@@ -55,7 +69,7 @@ def scan(docs: DataFrame) -> DataFrame:
     table = lambda rows, *names: F.broadcast(spark.sql(f"SELECT * FROM VALUES {str(rows)[1:-1]} AS t({', '.join(names)})"))
     base = docs.select("doc_id", canonical_lines(F.col("text")).alias("lines"))
     texts = base.select("doc_id", F.sha2(whole(F.col("lines")), 256).alias("text_sha256"))
-    texts = texts.join(table(sorted(dict(known(True) + known(False)).items()), "text_sha256", "license"), "text_sha256", "left")
+    texts = texts.join(table(sorted(dict(known(True) + known(False) + list(DIGESTS)).items()), "text_sha256", "license"), "text_sha256", "left")
     line = base.where("doc_id IS NOT NULL").select("doc_id", F.explode(F.split("lines", "\n")).alias("line"))
     stated = line.select("doc_id", F.sha2(F.trim("line"), 256).alias("digest")).join(table(known(False), "digest", "stated"), "digest")
     stated = stated.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set("stated")), ",").alias("statements"), F.count("*").alias("n_statements"))
@@ -64,7 +78,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def _sql() -> str:
-    base = f"regexp_replace(chr(10) || translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '{OWNER}', '', 'g')"
+    base = f"regexp_replace(chr(10) || translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '{SQL_OWNER}', '', 'g')"
     for a, b in SPELLINGS:
         base = f"replace({base}, '{a}', '{b}')"
     values = lambda rows: ", ".join(f"('{d}', '{n}')" for d, n in rows)

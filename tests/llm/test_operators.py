@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import random
+import textwrap
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers as P
@@ -98,6 +100,22 @@ def test_licence_scan(spark):
     assert licences.scan(docs(spark, [])).collect() == []
 
 
+def test_licence_scan_of_wrapped_and_long_texts(spark):
+    wrap = lambda x, w: "\n".join(textwrap.fill(line, w) for line in x.split("\n"))
+    t = [(name, "Copyright (c) 2020, A. B.\n\n" + wrap(x, w)) for name, x in licences.TEXTS for w in (40, 57, 64, 70, 76)]
+    assert sum("\ncopyright" in x.lower() for _, x in t) > 5
+    folder = Path("/usr/share/common-licenses")
+    for f, name in (("Apache-2.0", "Apache-2.0"), ("GPL-2", "GPL-2.0-only"), ("GPL-3", "GPL-3.0-only"), ("LGPL-2.1", "LGPL-2.1-only"), ("MPL-2.0", "MPL-2.0"), ("CC0-1.0", "CC0-1.0")):
+        if (folder / f).exists():
+            t.append((name, (folder / f).read_text().upper()))
+    got = {r.doc_id: r.license for r in licences.scan(docs(spark, [x for _, x in t])).collect()}
+    assert [got[i] for i in range(len(t))] == [name for name, _ in t]
+    owners = ["Copyright 2021 X", "© X", "(c) 2020 X", "Copyright: (C) X", "copyright by X", "Copyright [yyyy] [owner]", "(C) Copyright X"]
+    wording = ["copyright notice and this", "COPYRIGHT HOLDERS BE LIABLE", "(c) You must retain", "copyright owner or entity"]
+    assert [licences.canonical(x) == "" for x in owners + wording] == [True] * 7 + [False] * 4
+
+
+
 # 3
 
 
