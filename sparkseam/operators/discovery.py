@@ -18,6 +18,8 @@ def or_expressions(terms: DataFrame, key: str, order: str, term: str, most_chars
     """(key, expression): quoted terms in order, joined by OR, up to the first that would exceed the length; in brackets if several."""
     t = terms.where(F.trim(term) != "").select(key, order, phrases.literal(F.col(term)).alias("clause"))
     w = Window.partitionBy(key).orderBy(order)
+    # A clause takes six characters at least: rows of a higher rank can't fit, and each task drops its own before they are dealt out.
+    t = t.withColumn("_rank", F.rank().over(w)).where(F.col("_rank") <= most_chars // 6 + 2).drop("_rank")
     several = F.count("*").over(Window.partitionBy(key)) > 1
     upto = F.sum(F.length("clause") + 4).over(w) - 4 + F.when(several, 2).otherwise(0)
     kept = t.withColumn("fits", upto <= most_chars).where("fits").groupBy(key).agg(F.sort_array(F.collect_list(F.struct(order, "clause"))).alias("l"))

@@ -54,3 +54,19 @@ def test_unsubscribe_is_idempotent(spark):
     again = outbox.unsubscribe(o, s, tokens)
     assert again[0].count() == 1
     assert {r.id: r.status for r in again[1].collect()} == {1: "suppressed", 2: "sent", 3: "suppressed", 4: "queued"}
+
+
+def test_or_expressions_drops_terms_that_cannot_fit_before_the_exchange(spark, capsys):
+    df = spark.range(5000).selectExpr("id % 2 AS k", "id DIV 3 AS o", "concat('t', id) AS t").repartition(7)
+    got = discovery.or_expressions(df, "k", "o", "t", 60)
+    got.explain()
+    assert "WindowGroupLimit" in capsys.readouterr().out
+    for k, text in {r.k: r.expression for r in got.collect()}.items():
+        rows, size, want = [(i // 3, f'"t{i}"') for i in range(5000) if i % 2 == k], 2 - 4, []
+        for o in sorted({o for o, _ in rows}):
+            same = sorted(c for p, c in rows if p == o)
+            size += sum(len(c) + 4 for c in same)
+            if size > 60:
+                break
+            want += same
+        assert text == "(" + " OR ".join(want) + ")"
