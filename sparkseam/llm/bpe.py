@@ -1,30 +1,37 @@
 """Byte-level BPE: encoding and decoding by DuckDB's recursive queries in each partition.
 
-A partition's distinct words become rows (word, place, token id). A recursive query joins neighbours with the merge
-table and contracts, in each word, its leftmost pair of minimum rank, until no pair has a rank; ordered aggregation
-turns the rows into the ids of a word, and, joined with the vocabulary, back into its bytes.
+A partition's distinct words become token-position rows (word, place, token id, next id), which join the merge table. A
+recursive query contracts, in each word, its leftmost pair of minimum rank, and joins the two new neighbours with the merge
+table, until no pair has a rank; from step to step a word's rows travel as one list in their order. Ordered aggregation, joined
+with the vocabulary, turns the ids back into bytes.
 """
 
 from __future__ import annotations
 
 import base64
+import bisect
 import functools
 import hashlib
 import re
 from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 
 import duckdb
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
 RANKS = "byte_bpe_50k.tiktoken"
-#: Words encoded by one query, and strings that a task keeps.
-WORDS_AT_ONCE, STRINGS_KEPT = 10_000, 300_000
-#: Longer words contract all occurrences of the pair that do not overlap at once, which has the same end.
-LONG = 48
+#: Words encoded by one query, strings that a task keeps, and rows and characters looked up at once.
+WORDS_AT_ONCE, STRINGS_KEPT = 20_000, 400_000
+ROWS_AT_ONCE, CHARS_AT_ONCE = 5000, 8_000_000
+#: Longer words are encoded in blocks of so many bytes, of which each begins half a block after the one before.
+LONG = 256
+#: After letters alone, these are a word of their own.
+CLOSERS = (".", ",")
 
 # The classes of letters, numbers and white space among the first 256 code points.
 _L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼-¾", "\t-\r \u0085 "
@@ -64,43 +71,22 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-STEP = """
-WITH RECURSIVE s(step, wid, pos, id) AS (
-  SELECT 0, wid, pos, id FROM begin
+#: Contracts the leftmost pair of the lowest rank of each word. ids begin with -1, which has no pair; {none}: no rank.
+CONTRACT = """
+WITH RECURSIVE begun AS (
+  SELECT t.wid, [-1] || list(t.id ORDER BY t.pos) AS ids, [{none}] || list(coalesce(m.rank, {none}) ORDER BY t.pos) AS ranks
+  FROM begin t LEFT JOIN merges m ON m.a = t.id AND m.b = t.next GROUP BY t.wid),
+s(wid, ids, ranks) AS (
+  SELECT wid, ids, ranks FROM begun
   UNION ALL
-  SELECT step + 1, wid, pos, CASE WHEN {hit} THEN CAST(best >> 32 AS INTEGER) ELSE id END FROM (
-    SELECT *, min(mark) OVER (PARTITION BY wid) AS best{more} FROM (
-      SELECT p.*, (CAST(m.rank AS BIGINT) << 32) + p.pos AS mark FROM (
-        SELECT step, wid, pos, id, lead(id) OVER w AS next, lag(pos) OVER w AS before, row_number() OVER w AS rn
-        FROM s WINDOW w AS (PARTITION BY wid ORDER BY pos)) p
-      LEFT JOIN merges m ON m.a = p.id AND m.b = p.next))
-  WHERE best IS NOT NULL AND NOT ({gone}))
-"""
-#: Contract the leftmost pair of the lowest rank.
-ONE = STEP.format(hit="mark = best", more="", gone="before IS NOT DISTINCT FROM best & 4294967295")
-#: Contract that pair and all its occurrences that don't overlap: in a run of such places, every other one.
-ALL = """
-WITH RECURSIVE s(step, wid, pos, id) AS (
-  SELECT 0, wid, pos, id FROM begin
-  UNION ALL
-  SELECT step + 1, wid, pos, CASE WHEN take THEN best ELSE id END FROM (
-    SELECT *, lag(take) OVER (PARTITION BY wid ORDER BY rn) AS gone FROM (
-      SELECT *, hit AND (row_number() OVER (PARTITION BY wid, hit, run ORDER BY rn)) % 2 = 1 AS take FROM (
-        SELECT *, rn - row_number() OVER (PARTITION BY wid, hit ORDER BY rn) AS run FROM (
-          SELECT *, rank IS NOT DISTINCT FROM best AS hit FROM (
-            SELECT *, min(rank) OVER (PARTITION BY wid) AS best FROM (
-              SELECT p.*, m.rank FROM (
-                SELECT step, wid, pos, id, lead(id) OVER w AS next, row_number() OVER w AS rn
-                FROM s WINDOW w AS (PARTITION BY wid ORDER BY pos)) p
-              LEFT JOIN merges m ON m.a = p.id AND m.b = p.next))
-          WHERE best IS NOT NULL))))
-  WHERE gone IS NOT TRUE)
-"""
-END = """
-, e AS (SELECT wid, max(step) AS step FROM s GROUP BY wid)
-SELECT s.wid AS wid, string_agg(CAST(s.id AS VARCHAR), ' ' ORDER BY s.pos) AS ids, string_agg(v.hex, '' ORDER BY s.pos) AS hex
-FROM s JOIN e ON s.wid = e.wid AND s.step = e.step JOIN vocabulary v ON v.id = s.id GROUP BY s.wid
-"""
+  SELECT c.wid, list_concat(c.ids[:c.i - 1], [c.best], c.ids[c.i + 2:]),
+    list_concat(c.ranks[:c.i - 2], [coalesce(l.rank, {none}), coalesce(g.rank, {none})], c.ranks[c.i + 2:])
+  FROM (SELECT wid, ids, ranks, best, list_position(ranks, best) AS i FROM (SELECT *, list_min(ranks) AS best FROM s) WHERE best < {none}) c
+  LEFT JOIN merges l ON l.a = c.ids[c.i - 1] AND l.b = c.best
+  LEFT JOIN merges g ON g.a = c.best AND g.b = c.ids[c.i + 2])
+SELECT t.wid AS wid, string_agg(CAST(t.id AS VARCHAR), ' ' ORDER BY t.pos) AS ids, string_agg(v.hex, '' ORDER BY t.pos) AS hex
+FROM (SELECT wid, unnest(ids) AS id, generate_subscripts(ids, 1) AS pos FROM s WHERE list_min(ranks) = {none}) t JOIN vocabulary v ON v.id = t.id GROUP BY t.wid
+""".format(none=2**31 - 1)
 
 
 class Encoder:
@@ -110,11 +96,14 @@ class Encoder:
         ranks = load_ranks(path)
         pairs = [(ranks[t[:k]], ranks[t[k:]], r) for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
         a, b, r = (pa.array(x, pa.int32()) for x in zip(*pairs, strict=True))
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "150MB"})
+        # In memory alone: words are dealt out so that a query stays far below the limit, and nothing is spilled to the worker's folder.
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         self.db.execute("SET preserve_insertion_order = false")
         self.put("merges", pa.table({"a": a, "b": b, "rank": r}))
         self.put("vocabulary", pa.table({"id": pa.array(ranks.values(), pa.int32()), "hex": [t.hex() for t in ranks]}))
         self.byte_id = np.array([ranks[bytes([x])] for x in range(256)], np.int32)
+        self.size = np.zeros(max(ranks.values()) + 1, np.int64)
+        self.size[list(ranks.values())] = [len(t) for t in ranks]
         self.words = Kept(self.encode, 2, STRINGS_KEPT)
 
     def put(self, name: str, t: pa.Table) -> None:
@@ -124,44 +113,91 @@ class Encoder:
 
     def encode(self, given: list[str]) -> list[tuple[bytes, bytes]]:
         """For each word its ids in decimal, joined by a space, and the bytes decoded from them."""
-        words, out = sorted(given, key=len), {}
-        short = sum(len(w) <= LONG for w in words)
-        for query, some in ((ONE, words[:short]), (ALL, words[short:])):
-            at = 0
-            while at < len(some):
-                part, size = [], 0
-                while at < len(some) and len(part) < WORDS_AT_ONCE and size < 8 * WORDS_AT_ONCE:
-                    part.append(some[at].encode("utf-8", "surrogatepass"))
-                    size += len(part[-1])
-                    at += 1
-                self.run(query, some[at - len(part) : at], part, out)
-        return [out[w] for w in given]
-
-    def run(self, query: str, words: list[str], raw: list[bytes], out: dict[str, tuple[bytes, bytes]]) -> None:
+        raw = [w.encode("utf-8", "surrogatepass") for w in given]
+        short = sorted((r for r in raw if len(r) <= LONG), key=len)
+        out = self.whole(short)
+        return [out[r] if len(r) <= LONG else self.stitched(r) for r in raw]
+
+    def whole(self, raw: list[bytes]) -> dict[bytes, tuple[bytes, bytes]]:
+        out, at = {}, 0
+        while at < len(raw):
+            to, size = at, 0
+            while to < len(raw) and to - at < WORDS_AT_ONCE and (to == at or size < 8 * WORDS_AT_ONCE):
+                size += len(raw[to])
+                to += 1
+            self.run(raw[at:to], out)
+            at = to
+        return out
+
+    def stitched(self, raw: bytes, block: int = LONG) -> tuple[bytes, bytes]:
+        """A long word from overlapping blocks, each contracted like a word, joined at tokens that two neighbours share.
+
+        A sequence of tokens is the encoding of its bytes if each two neighbours are the encoding of theirs: a merge over a
+        boundary would need a pair that is merged before one of the two is complete, and such a pair shows in those two alone.
+        Neighbours within a block's encoding pass, and at a token that both blocks have at the same place, the left neighbour
+        is from one block and the right one from the other. Blocks without such a token (periodic text) are doubled.
+        """
+        begins = range(0, max(1, len(raw) - block // 2), block // 2)
+        coded = self.whole(list({raw[b : b + block] for b in begins}))
+        ids: list[int] = []
+        ends: list[int] = []
+        back: list[bytes] = []
+        for b in begins:
+            i, decoded = coded[raw[b : b + block]]
+            new = list(map(int, i.split()))
+            to = (b + np.cumsum(self.size[new])).tolist()
+            first = bisect.bisect_right(ends, b)
+            shared = {pair: first + k for k, pair in enumerate(zip(ends[first:], ids[first:], strict=True))}
+            k = next((k for k, pair in enumerate(zip(to, new, strict=True)) if k and pair in shared), None) if b else -1
+            if k is None:
+                return self.stitched(raw, 2 * block) if block < len(raw) else self.whole([raw])[raw]
+            if b:
+                keep = shared[to[k], new[k]] + 1
+                back[-1] = back[-1][: len(back[-1]) - (ends[-1] - to[k])]
+                del ids[keep:], ends[keep:]
+            back.append(decoded[to[k] - b if b else 0 :])
+            ids += new[k + 1 :]
+            ends += to[k + 1 :]
+        return " ".join(map(str, ids)).encode(), b"".join(back)
+
+    def run(self, raw: list[bytes], out: dict[bytes, tuple[bytes, bytes]]) -> None:
         n = np.array([len(x) for x in raw])
         wid = np.repeat(np.arange(len(raw), dtype=np.int32), n)
-        pos = (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)).astype(np.int64)
+        pos = (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
         ids = self.byte_id[np.frombuffer(b"".join(raw), np.uint8)]
-        self.put("begin", pa.table({"wid": wid, "pos": pos, "id": ids}))
-        for k, i, h in self.db.execute(query + END).fetchall():
-            out[words[k]] = (i.encode(), bytes.fromhex(h))
-
-    def texts(self, texts: Iterable[str | None], most_chars: int = 1_000_000) -> Iterator[tuple[bytes, bytes]]:
-        """For each text its ids in decimal, joined by a space, and the bytes decoded from them."""
-        held, chars = [], 0
-        for t in texts:
-            held.append(split(t or ""))
-            chars += len(t or "")
-            if chars >= most_chars:
-                yield from self.flush(held)
-                held, chars = [], 0
-        yield from self.flush(held)
-
-    def flush(self, held: list[list[str]]) -> Iterator[tuple[bytes, bytes]]:
-        self.words.learn(set().union(*held))
-        ids, back = (d.__getitem__ for d in self.words.now)
-        for words in held:
-            yield b" ".join(map(ids, words)), b"".join(map(back, words))
+        follows = np.append(ids[1:], -1).astype(np.int32)
+        follows[np.cumsum(n) - 1] = -1
+        self.put("begin", pa.table({"wid": wid, "pos": pos, "id": ids, "next": follows}))
+        for k, i, h in self.db.execute(CONTRACT).fetchall():
+            out[raw[k]] = (i.encode(), bytes.fromhex(h))
+
+    def texts(self, texts: pa.Array) -> tuple[pa.Array, pa.Array]:
+        """For each text its ids in decimal, joined by a space, and the bytes decoded from them (binary arrays).
+
+        A word never goes on over a space that follows another character than white space, so that a text in which no space has
+        other white space beside it is the sequence of its parts between spaces, each with the space before it: distinct parts are
+        split into words once. Other texts are split as a whole.
+        """
+        parts = pc.split_pattern(texts.fill_null(""), " ")
+        coded = parts.flatten().dictionary_encode()
+        strings, starts = coded.dictionary.to_pylist(), parts.offsets.to_numpy() - parts.offsets[0].as_py()
+        odd = np.array([not p or p != p.strip() for p in strings], bool)[coded.indices.to_numpy()]
+        whole = np.logical_or.reduceat(odd, starts[:-1]) & (np.diff(starts) > 1) if len(texts) else odd
+        firsts = parts.flatten().take(pa.array(starts[:-1])).to_pylist()
+        # The distinct parts' words; then, for each text, those of its first part, or of the whole text. Letters are one word.
+        words: list[tuple[str, ...]] = [(" " + p,) if p.isalpha() else (" " + p[:-1], p[-1]) if p[-1:] in CLOSERS and p[:-1].isalpha() else tuple(split(" " + p)) for p in strings]
+        words += [tuple(split(texts[k].as_py() if all_ else firsts[k])) for k, all_ in enumerate(whole)]
+        index, use = coded.indices.to_numpy().copy(), np.ones(starts[-1], bool)
+        index[starts[:-1]] = len(strings) + np.arange(len(texts))
+        for k in np.flatnonzero(whole):
+            use[starts[k] + 1 : starts[k + 1]] = False
+        self.words.learn(set(chain.from_iterable(words)))
+        offsets = pa.array(np.concatenate([[0], np.cumsum(use)])[starts], pa.int32())
+        out = []
+        for kept, glue in zip(self.words.now, (b" ", b""), strict=True):
+            made = pa.array([kept[w[0]] if len(w) == 1 else glue.join([kept[x] for x in w]) for w in words], pa.binary())
+            out.append(pc.binary_join(pa.ListArray.from_arrays(offsets, made.take(pa.array(index[use]))), glue))
+        return out[0], out[1]
 
 
 @functools.cache
@@ -170,22 +206,28 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def encoded(docs: DataFrame, schema: str, columns: Callable[[pa.RecordBatch, list[tuple[bytes, bytes]]], list], path: str | None = None) -> DataFrame:
-    """docs through the worker's Encoder; columns(batch, pairs of ids and bytes) gives the arrays of `schema`."""
+def encoded(docs: DataFrame, schema: str, columns: Callable[[pa.RecordBatch, pa.Array, pa.Array], list], path: str | None = None) -> DataFrame:
+    """docs through the worker's Encoder; columns(batch, ids, decoded bytes) gives the arrays of `schema`."""
     path = path or public_tokenizers.path(RANKS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, enc = [c.split()[0] for c in schema.split(", ")], encoder(path)
-        for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                part = b.slice(at, 1000)
-                yield pa.RecordBatch.from_arrays(columns(part, list(enc.texts(part.column("text").to_pylist()))), names)
+        for part in sliced(batches, ROWS_AT_ONCE, CHARS_AT_ONCE):
+            yield pa.RecordBatch.from_arrays(columns(part, *enc.texts(part.column("text"))), names)
 
     return docs.mapInArrow(run, schema)
 
 
-def _count(ids: bytes) -> int:
-    return ids.count(b" ") + bool(ids)
+def sliced(batches: Iterable[pa.RecordBatch], rows: int, size: int) -> Iterator[pa.RecordBatch]:
+    """The batches (with a column text) in runs of at most so many rows and, unless it is one row, bytes of text."""
+    for b in batches:
+        ends = np.cumsum(pc.binary_length(b.column("text")).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < b.num_rows:
+            to = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right"))
+            to = min(max(to, at + 1), at + rows, b.num_rows)
+            yield b.slice(at, to - at)
+            at = to
 
 
 def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -194,9 +236,10 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
     Null and empty texts have no tokens. Every row gives a row, repeats included; extra columns are ignored.
     """
 
-    def columns(b: pa.RecordBatch, out: list[tuple[bytes, bytes]]) -> list:
-        sha = [[hashlib.sha256(x[k]).hexdigest() for x in out] for k in (0, 1)]
-        return [b.column("doc_id"), pa.array([_count(i) for i, _ in out], pa.int64()), pa.array(sha[0]), pa.array(sha[1])]
+    def columns(b: pa.RecordBatch, ids: pa.Array, back: pa.Array) -> list:
+        n = [x.count(b" ") + bool(x) for x in ids.to_pylist()]
+        sha = [pa.array([hashlib.sha256(x).hexdigest() for x in a.to_pylist()], pa.string()) for a in (ids, back)]
+        return [b.column("doc_id"), pa.array(n, pa.int64()), *sha]
 
     return encoded(docs.select("doc_id", "text"), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", columns, path)
 
@@ -204,7 +247,7 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
 def token_ids(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Per row: doc_id, ids array<int>, decoded binary: the encoding itself."""
 
-    def columns(b: pa.RecordBatch, out: list[tuple[bytes, bytes]]) -> list:
-        return [b.column("doc_id"), pa.array([list(map(int, i.split())) for i, _ in out], pa.list_(pa.int32())), pa.array([d for _, d in out], pa.binary())]
+    def columns(b: pa.RecordBatch, ids: pa.Array, back: pa.Array) -> list:
+        return [b.column("doc_id"), pa.array([list(map(int, i.split())) for i in ids.to_pylist()], pa.list_(pa.int32())), back]
 
     return encoded(docs.select("doc_id", "text"), "doc_id long, ids array<int>, decoded binary", columns, path)

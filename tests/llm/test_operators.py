@@ -363,7 +363,21 @@ def test_bpe_against_tiktoken(spark, texts):
 def test_bpe_forgets_and_learns_again(monkeypatch):
     monkeypatch.setattr(bpe, "STRINGS_KEPT", 50)
     t = prose(20, 3)
-    assert [d.decode() for _, d in bpe.Encoder(P.path(bpe.RANKS)).texts(t + t, 500)] == t + t
+    enc = bpe.Encoder(P.path(bpe.RANKS))
+    assert [d.decode() for k in range(0, 40, 3) for d in enc.texts(pa.array((t + t)[k : k + 3]))[1].to_pylist()] == t + t
+
+
+def test_bpe_white_space_and_long_words_against_tiktoken():
+    r, enc = random.Random(2), bpe.Encoder(P.path(bpe.RANKS))
+    ref = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.load_ranks(P.path(bpe.RANKS)), special_tokens={})
+    bits = [" ", "  ", "\n", "a", "b", "é", "漢", "1", "'s", "'", "\t", " \n", "the", "ing", "\u00a0", "\u2003", "😀", ".", ","]
+    t = [None, "", " ", "a ", " a"] + ["".join(r.choices(bits, k=r.randint(0, 30))) for _ in range(1500)]
+    t += ["".join(r.choices(a, k=r.randint(200, 1500))) for a in ("ab", "abc", "etaoin", "eta漢é", "qzx", ["the", "ing", "a"], "9") for _ in range(15)]
+    t += ["acgt" * 700, "a" * 1000, "abcab" * 300, "漢字" * 400, "".join(r.choices("etaoinshrdlu", k=20_000))]
+    ids, back = enc.texts(pa.array(t, pa.string()))
+    for x, i, b in zip(t, ids.to_pylist(), back.to_pylist(), strict=True):
+        assert i.decode() == " ".join(map(str, ref.encode_ordinary(x or ""))), x
+        assert b.decode() == (x or "")
 
 
 # 9
