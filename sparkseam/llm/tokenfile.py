@@ -30,6 +30,8 @@ END_ID = 0
 CLOSERS = ".,"
 #: Parts of texts whose ids a worker keeps from task to task, and texts looked up at once.
 PARTS_KEPT, AT_ONCE = 900_000, 5000
+#: Parts of letters that are handed to the library as one list.
+PARTS_AT_ONCE = 500
 BITS = 16
 BLOCK = 512
 #: A shard is closed with the document that brings it to so many tokens.
@@ -113,11 +115,15 @@ class Tokens:
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a task per core
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.lib = Tokenizer.from_file(path)
         self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
-        self.later = Kept(lambda parts: [(x,) for x in self.encode([" " + p for p in parts])], 1, PARTS_KEPT)
+        self.opens = np.array([(self.lib.id_to_token(i) or "").startswith("Ġ") for i in range(self.lib.get_vocab_size())])
+        # The same library for strings of letters, which are one word each: nothing to find word boundaries in.
+        self.words = Tokenizer.from_file(path)
+        self.words.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.later = Kept(lambda parts: [(x,) for x in self.after_space(parts)], 1, PARTS_KEPT)
         self.closers = dict(zip(CLOSERS, self.encode(list(CLOSERS)), strict=True))
 
     def encode(self, strings: list[str]) -> list[bytes]:
@@ -126,12 +132,25 @@ class Tokens:
             out += [array("H", e.ids).tobytes() for e in self.lib.encode_batch_fast(strings[at : at + 10_000], add_special_tokens=False)]
         return out
 
+    def after_space(self, parts: list[str]) -> list[bytes]:
+        """The ids of each part with a space before it; many parts of letters go as one list and are cut at the tokens that open with a space."""
+        out: dict[int, bytes] = {}
+        letters = [k for k, p in enumerate(parts) if p.isalpha()]
+        runs = [letters[at : at + PARTS_AT_ONCE] for at in range(0, len(letters), PARTS_AT_ONCE)]
+        for run, coded in zip(runs, self.words.encode_batch_fast([[" " + parts[k] for k in run] for run in runs], is_pretokenized=True, add_special_tokens=False), strict=True):
+            ids = np.array(coded.ids, np.uint16)
+            raw, cuts = ids.tobytes(), [*(2 * np.flatnonzero(self.opens[ids])).tolist(), 2 * len(ids)]
+            out.update((k, raw[a:b]) for k, a, b in zip(run, cuts[:-1], cuts[1:], strict=True))
+        rest = [k for k in range(len(parts)) if k not in out]
+        out.update(zip(rest, self.encode([" " + parts[k] for k in rest]), strict=True))
+        return [out[k] for k in range(len(parts))]
+
     def texts(self, texts: pa.Array) -> Iterator[bytes]:
         """The 16-bit ids of each text, END_ID last."""
         end = array("H", [END_ID]).tobytes()
         parts = pc.split_pattern(texts, " ")
         coded = parts.flatten().dictionary_encode()
-        words, starts = coded.dictionary.to_pylist(), parts.offsets.to_numpy() - parts.offsets[0].as_py()
+        words, starts = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), parts.offsets.to_numpy() - parts.offsets[0].as_py()
         stem = [w[:-1] if w[-1:] in CLOSERS and w[:-1].isalpha() else w for w in words]
         self.later.learn(set(stem))
         get = self.later.now[0].__getitem__
@@ -185,7 +204,7 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None) -> None:
                 yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), doc, ids], ["part", "doc_id", "ids"])
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, nth, docs_, sizes, held = None, 0, [], [], []
+        part, nth, total, docs_, sizes, held = None, 0, 0, [], [], []
 
         def shard() -> pa.RecordBatch:
             a = np.frombuffer(b"".join(held), np.uint16)
@@ -195,12 +214,13 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None) -> None:
 
         for b in batches:
             for p, doc, ids in zip(*(b.column(c).to_pylist() for c in ("part", "doc_id", "ids")), strict=True):
-                if docs_ and (p != part or sum(sizes) >= SHARD_TOKENS):
+                if docs_ and (p != part or total >= SHARD_TOKENS):
                     yield shard()
-                    nth, docs_, sizes, held = (nth + 1 if p == part else 0), [], [], []
+                    nth, total, docs_, sizes, held = (nth + 1 if p == part else 0), 0, [], [], []
                 part = p
                 docs_.append(doc)
                 sizes.append(len(ids) // 2)
+                total += sizes[-1]
                 held.append(ids)
         if docs_:
             yield shard()
@@ -224,7 +244,8 @@ def read(spark, path: str) -> DataFrame:
                 ids = WaveletMatrix(r["n"], r["planes"], r["ranks"]).all()
                 ends = np.cumsum(r["sizes"])
                 at = ends - r["sizes"]
-                crc = [zlib.crc32(ids[s:e].astype("<u4").tobytes()) for s, e in zip(at, ends, strict=True)]
+                wide = memoryview(ids.astype("<u4"))
+                crc = [zlib.crc32(wide[s:e]) for s, e in zip(at.tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array([r["shard"]] * len(at)), pa.array(r["doc_ids"], pa.int64()), pa.array(at, pa.int64()), pa.array(r["sizes"], pa.int64()), pa.array(crc, pa.int64())], _names(out))
 
     docs = files.mapInArrow(crcs, out)
