@@ -180,7 +180,7 @@ class Encoder:
         """
         parts = pc.split_pattern(texts.fill_null(""), " ")
         coded = parts.flatten().dictionary_encode()
-        strings, starts = coded.dictionary.to_pylist(), parts.offsets.to_numpy() - parts.offsets[0].as_py()
+        strings, starts = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), parts.offsets.to_numpy() - parts.offsets[0].as_py()
         odd = np.array([not p or p != p.strip() for p in strings], bool)[coded.indices.to_numpy()]
         whole = np.logical_or.reduceat(odd, starts[:-1]) & (np.diff(starts) > 1) if len(texts) else odd
         firsts = parts.flatten().take(pa.array(starts[:-1])).to_pylist()
