@@ -17,6 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +39,8 @@ CHUNK_BYTES = 6_000_000
 #: Bytes of text whose pairs of one predictor meet in one task.
 BUCKET_BYTES = 16_000_000
 PIECE = 1 << 18
+#: Characters whose pairs' keys are made at once: few, so that the steps between stay in the processor's caches.
+KEYS_AT_ONCE = 100_000
 #: Log odds are kept in steps of 1 / STEPS, within a signed byte.
 STEPS = 16
 
@@ -156,7 +159,7 @@ def _all_keys(texts: pa.Array, learns: pa.Array) -> list[np.ndarray]:
     """pair_keys() of many texts, piece by piece."""
     got: list[list[np.ndarray]] = [[] for _ in range(PREDICTORS)]
     learn, at = np.array(learns.to_pylist(), np.uint64), 0
-    for some in _groups(texts):
+    for some in _groups(texts, KEYS_AT_ONCE):
         s, n = symbols(some)
         for c, key in zip(got, pair_keys(s, n, np.repeat(learn[at : at + len(some)], n)), strict=True):
             c.append(key)
@@ -169,17 +172,28 @@ def places(keys: list[np.ndarray], size: np.ndarray) -> list[np.ndarray]:
     out = []
     for k in range(PREDICTORS):
         key, keys[k] = keys[k] >> np.uint64(1), None
-        order = np.argsort(key)
-        key = key[order]
-        new = np.concatenate([[True], key[1:] != key[:-1]])
-        ends = np.cumsum(size[pairs_of(key[new])], dtype=np.int64)
-        begins = np.concatenate([[0], ends[:-1]])
-        place = np.empty(len(key), np.int64 if ends[-1] >> 31 else np.int32)
-        place[order] = begins[np.cumsum(new) - 1]
-        out.append(place)
+        met = pa.array(key).dictionary_encode()
+        u = met.dictionary.to_numpy()
+        order = np.argsort(u)
+        ends = np.cumsum(size[pairs_of(u[order])], dtype=np.int64)
+        begins = np.empty(len(u), np.int64 if ends[-1] >> 31 else np.int32)
+        begins[order] = np.concatenate([[0], ends[:-1]])
+        out.append(begins.take(met.indices.to_numpy()))
     return out
 
 
+def packed(a: np.ndarray) -> bytes:
+    """A numpy array, sorted if of 64 bits, in fewer bytes: differences, their bytes place by place, compressed."""
+    a = np.diff(a, prepend=a.dtype.type(0)) if a.dtype == np.uint64 else a
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.itemsize).T))
+
+
+def unpacked(raw, kind: type) -> np.ndarray:
+    a = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(np.dtype(kind).itemsize, -1).T
+    a = np.ascontiguousarray(a).view(kind).ravel()
+    return np.cumsum(a, dtype=np.uint64) if a.dtype == np.uint64 else a
+
+
 class Bits:
     """The bits of a run of symbols: which symbol each belongs to, its value, and its slot for each predictor."""
 
@@ -257,7 +271,7 @@ class Mixer:
 
     def inputs(self, slots: list[np.ndarray]) -> list[np.ndarray]:
         """Each predictor's log odds, in steps."""
-        return [o[k] for o, k in zip(self.odds, slots, strict=True)]
+        return [o.take(k, mode="clip") for o, k in zip(self.odds, slots, strict=True)]
 
     def seen(self, b: Bits) -> tuple[np.ndarray, np.ndarray]:
         """The kinds of bits, each predictor's log odds and the bit's value in one number, and how many there are of each."""
@@ -385,9 +399,9 @@ def fit_code(docs: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
 def answered(t: pa.Table, code: np.ndarray, size: np.ndarray) -> pa.Table:
     """For chunks' pairs of one bucket (chunk, id, keys, counts) the log odds along their bits; for a tuning chunk also those
     without the counts of tuning chunks (apart). All pairs of a context are in one bucket."""
-    keys = [np.frombuffer(x.as_buffer(), np.uint64) for x in t["keys"]]
+    keys = [unpacked(x.as_buffer(), np.uint64) for x in t["keys"]]
     chunk, n = t["chunk"].to_numpy(), np.array([len(k) for k in keys])
-    counts = np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in t["counts"]]).astype(np.int64)
+    counts = np.concatenate([unpacked(x.as_buffer(), np.uint32) for x in t["counts"]]).astype(np.int64)
     key = np.concatenate(keys)
     order = np.argsort(key)
     new = np.concatenate([[True], key[order][1:] != key[order][:-1]])
@@ -416,8 +430,8 @@ def answered(t: pa.Table, code: np.ndarray, size: np.ndarray) -> pa.Table:
         k = of_key[at : at + m]
         at += m
         path = np.repeat(ends[k] - np.cumsum(sizes[k]), sizes[k]) + np.arange(sizes[k].sum())
-        got.append(every[path].tobytes())
-        apart.append(some[path].tobytes() if tune else None)
+        got.append(packed(every[path]))
+        apart.append(packed(some[path]) if tune else None)
     return pa.table([t["chunk"], t["id"], pa.array(got, pa.binary()), pa.array(apart, pa.binary())], ["chunk", "id", "odds", "apart"])
 
 
@@ -425,7 +439,7 @@ def _tables(id_: pa.ChunkedArray, odds: pa.ChunkedArray, buckets: int) -> list[n
     """Each predictor's table of a chunk from its buckets' answers."""
     ids, parts = id_.to_numpy(), odds.to_pylist()
     order = np.argsort(ids)
-    return [np.frombuffer(b"".join(parts[r] for r in order if ids[r] // buckets == k), np.int8) for k in range(PREDICTORS)]
+    return [np.concatenate([np.empty(0, np.int8), *(unpacked(parts[r], np.int8) for r in order if ids[r] // buckets == k)]) for k in range(PREDICTORS)]
 
 
 def fit_weights(mixer: Mixer, met: DataFrame, rounds: int = 15) -> None:
@@ -484,7 +498,7 @@ def scored(docs: DataFrame) -> DataFrame:
             bucket = (u >> np.uint64(31)) * np.uint64(buckets) >> np.uint64(32)
             cuts = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
             for b in np.flatnonzero(np.diff(cuts)):
-                for col, v in zip(cols, (k * buckets + int(b), u[cuts[b] : cuts[b + 1]].tobytes(), c[cuts[b] : cuts[b + 1]].tobytes()), strict=True):
+                for col, v in zip(cols, (k * buckets + int(b), packed(u[cuts[b] : cuts[b + 1]]), packed(c[cuts[b] : cuts[b + 1]])), strict=True):
                     col.append(v)
         return pa.table([pa.array([t["chunk"][0].as_py()] * len(cols[0]), pa.int64()), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())], ["chunk", "id", "keys", "counts"])
 

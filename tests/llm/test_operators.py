@@ -319,7 +319,7 @@ def test_lm_log_odds_are_those_of_all_counts():
     key = lm.pair_keys(s, n, np.ones(len(s), np.uint64))[1] >> np.uint64(1)
     chunk = np.repeat(np.arange(12) % 3 - 1, n)
     rows = [(c, 0, *np.unique(key[chunk == c], return_counts=True)) for c in (-1, 0, 1)]
-    asked = pa.table([pa.array(x) for x in zip(*[(c, i, k.tobytes(), m.astype(np.uint32).tobytes()) for c, i, k, m in rows], strict=True)], ["chunk", "id", "keys", "counts"])
+    asked = pa.table([pa.array(x) for x in zip(*[(c, i, lm.packed(k), lm.packed(m.astype(np.uint32))) for c, i, k, m in rows], strict=True)], ["chunk", "id", "keys", "counts"])
     got = lm.answered(asked, code, size).to_pylist()
     count = {False: Counter(), True: Counter()}
     paths = []
@@ -334,7 +334,7 @@ def test_lm_log_odds_are_those_of_all_counts():
                 count[True][context, bits[:d], bits[d]] += i % 3 != 0
         paths.append(path)
     for c, name in ((-1, "odds"), (0, "odds"), (1, "odds"), (-1, "apart")):
-        table = np.frombuffer(next(r for r in got if r["chunk"] == c)[name], np.int8)
+        table = lm.unpacked(next(r for r in got if r["chunk"] == c)[name], np.int8)
         of = [p for i in range(12) if i % 3 - 1 == c for p in paths[i]]
         part = [key[chunk == c]]
         keys = [part[0] << np.uint64(1)] * lm.PREDICTORS
