@@ -17,6 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,7 +36,7 @@ GATES = 30
 BLOCK, RATE = 512, 0.02
 #: Of so many training texts one, by the hash of doc_id, is what the weights are fitted to, with the counts of the others only.
 TUNING_TEXTS = 16
-CHUNK_BYTES = 6_000_000
+CHUNK_BYTES = 9_000_000
 #: Bytes of text whose pairs of one predictor meet in one task.
 BUCKET_BYTES = 16_000_000
 PIECE = 1 << 18
@@ -396,6 +397,34 @@ def fit_code(docs: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
     return prefix_code(pairs)
 
 
+def words_of(texts: list[str | None], learn: list[bool], buckets: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """A chunk's distinct tokens by bucket, where each bucket begins (and the last ends), and how often training texts hold each."""
+    c: Counter = Counter()
+    for text, taught in zip(texts, learn, strict=True):
+        c.update(tokens(text) if taught else dict.fromkeys(tokens(text), 0))
+    at = sorted((xxhash.xxh64_intdigest(w) % buckets, w) for w in c)
+    words = [w for _, w in at]
+    return words, np.searchsorted([b for b, _ in at], np.arange(buckets + 1)), np.fromiter(map(c.__getitem__, words), np.uint32, len(words))
+
+
+def counted(t: pa.Table) -> pa.Table:
+    """For chunks' tokens of one bucket the counts of all training texts, and a row with their sum and how many tokens have any."""
+    press, compress = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
+    of = pa.array([w for x in t["keys"] for w in press.decompress(x.as_buffer()).split(b"\n")], pa.binary()).dictionary_encode()
+    n = np.concatenate([unpacked(x.as_buffer(), np.uint32) for x in t["counts"]]).astype(np.int64)
+    index = of.indices.to_numpy()
+    total = np.zeros(len(of.dictionary), np.int64)
+    np.add.at(total, index, n)
+    sizes = [len(unpacked(x.as_buffer(), np.uint32)) for x in t["counts"]]
+    found = [compress.compress(part.tobytes()) for part in np.split(total[index], np.cumsum(sizes)[:-1])]
+    none = [None] * len(found)
+    cols = [pa.array([*t["chunk"].to_pylist(), None], pa.int64()), pa.array([*t["id"].to_pylist(), None], pa.int64()), pa.array([*found, None], pa.binary()), pa.array([*none, None], pa.binary())]
+    return pa.table([*cols, pa.array([*none, int(total.sum())], pa.int64()), pa.array([*none, int((total > 0).sum())], pa.int64())], ANSWERS)
+
+
+ANSWERS = ["chunk", "id", "odds", "apart", "n", "v"]
+
+
 def answered(t: pa.Table, code: np.ndarray, size: np.ndarray) -> pa.Table:
     """For chunks' pairs of one bucket (chunk, id, keys, counts) the log odds along their bits; for a tuning chunk also those
     without the counts of tuning chunks (apart). All pairs of a context are in one bucket."""
@@ -432,7 +461,8 @@ def answered(t: pa.Table, code: np.ndarray, size: np.ndarray) -> pa.Table:
         path = np.repeat(ends[k] - np.cumsum(sizes[k]), sizes[k]) + np.arange(sizes[k].sum())
         got.append(packed(every[path]))
         apart.append(packed(some[path]) if tune else None)
-    return pa.table([t["chunk"], t["id"], pa.array(got, pa.binary()), pa.array(apart, pa.binary())], ["chunk", "id", "odds", "apart"])
+    none = pa.nulls(len(got), pa.int64())
+    return pa.table([t["chunk"], t["id"], pa.array(got, pa.binary()), pa.array(apart, pa.binary()), none, none], ANSWERS)
 
 
 def _tables(id_: pa.ChunkedArray, odds: pa.ChunkedArray, buckets: int) -> list[np.ndarray]:
@@ -472,7 +502,7 @@ def scored(docs: DataFrame) -> DataFrame:
 
     Null and empty texts have one token, the end. Rows without doc_id are learned from. Repeated rows count as often as
     they stand there. Texts are dealt into chunks by a hash, those that tune the weights into chunks of their own, below zero. A
-    chunk's distinct tokens fetch their counts by a join, its distinct pairs their log odds from the buckets.
+    chunk's distinct tokens fetch their counts from the buckets, its distinct pairs their log odds.
     """
     docs = docs.select("doc_id", "text")
     spark = docs.sparkSession
@@ -500,10 +530,18 @@ def scored(docs: DataFrame) -> DataFrame:
             for b in np.flatnonzero(np.diff(cuts)):
                 for col, v in zip(cols, (k * buckets + int(b), packed(u[cuts[b] : cuts[b + 1]]), packed(c[cuts[b] : cuts[b + 1]])), strict=True):
                     col.append(v)
+        words, cuts, n_ = words_of(t["text"].to_pylist(), t["learns"].to_pylist(), buckets)
+        for b in np.flatnonzero(np.diff(cuts)):
+            joined = zstandard.ZstdCompressor(level=1).compress(b"\n".join(words[cuts[b] : cuts[b + 1]]))
+            for col, v in zip(cols, (PREDICTORS * buckets + int(b), joined, packed(n_[cuts[b] : cuts[b + 1]])), strict=True):
+                col.append(v)
         return pa.table([pa.array([t["chunk"][0].as_py()] * len(cols[0]), pa.int64()), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())], ["chunk", "id", "keys", "counts"])
 
     asks = dealt.groupBy("chunk").applyInArrow(pairs, "chunk long, id long, keys binary, counts binary")
-    answers = written(asks.groupBy("id").applyInArrow(lambda t: answered(t, *coded.value), "chunk long, id long, odds binary, apart binary"))
+    reply = lambda t: counted(t) if t["id"][0].as_py() >= PREDICTORS * buckets else answered(t, *coded.value)
+    answers = written(asks.groupBy("id").applyInArrow(reply, "chunk long, id long, odds binary, apart binary, n long, v long"))
+    n, v = answers.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
+    answers = answers.where("chunk IS NOT NULL").drop("n", "v")
 
     def seen(docs_: pa.Table, given: pa.Table) -> pa.Table:
         texts = docs_["text"].combine_chunks()
@@ -518,41 +556,23 @@ def scored(docs: DataFrame) -> DataFrame:
         return pa.table([pa.array(kinds, pa.binary()), pa.array(counts_, pa.binary())], ["kinds", "n"])
 
     fitted = Mixer(code, size, [])
-    tuned = dealt.where("chunk < 0").groupBy("chunk").cogroup(answers.where("chunk < 0").groupBy("chunk")).applyInArrow(seen, "kinds binary, n binary")
+    tuned = dealt.where("chunk < 0").groupBy("chunk").cogroup(answers.where(F.col("chunk") < 0).where(F.col("id") < PREDICTORS * buckets).groupBy("chunk")).applyInArrow(seen, "kinds binary, n binary")
     fit_weights(fitted, written(tuned))
     weights = fitted.weights
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[int, Counter] = {}
-        for b in batches:
-            for text, chunk, learn in zip(*(b.column(c).to_pylist() for c in ("text", "chunk", "learns")), strict=True):
-                c = known.setdefault(chunk, Counter())
-                c.update(tokens(text) if learn else dict.fromkeys(tokens(text), 0))
-        for chunk, c in known.items():
-            keys, n = list(c), list(c.values())
-            for at in range(0, len(keys), 50_000):
-                k = keys[at : at + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(k), pa.int64()), pa.array(k, pa.binary()), pa.array(n[at : at + 50_000], pa.int64())], ["chunk", "token", "n"])
-
-    met = written(dealt.select("text", "chunk", "learns").mapInArrow(count, "chunk long, token binary, n long"))
-    counts = written(met.groupBy("token").agg(F.sum("n").alias("c")))
-    n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()
-    asked = met.select("chunk", "token").join(counts, "token").select("chunk", "token", "c", F.lit(None).cast("long").alias("id"))
-    asked = asked.unionByName(answers.select("chunk", F.col("odds").alias("token"), F.lit(0).cast("long").alias("c"), "id"))
-
     def score(docs_: pa.Table, given: pa.Table) -> pa.Table:
-        words, given = given.filter(pc.is_null(given["id"])), given.filter(pc.is_valid(given["id"]))
-        c = np.array(words["c"].to_numpy(), float)
-        value = dict(zip(words["token"].to_pylist(), np.log10(c + 1).tolist(), strict=True))
+        texts, learn = docs_["text"].to_pylist(), docs_["learns"].to_pylist()
+        table, press = given.filter(pc.greater_equal(given["id"], PREDICTORS * buckets)).sort_by("id"), zstandard.ZstdDecompressor()
+        c = np.frombuffer(b"".join(press.decompress(x.as_buffer()) for x in table["odds"]), np.int64)
+        value = dict(zip(words_of(texts, learn, buckets)[0], np.log10(c + 1.0).tolist(), strict=True))
         away = np.log10(n + v + 1)
-        texts = docs_["text"].to_pylist()
         counts_, known, base = [], [], []
         for t in texts:
             got = np.array(list(map(value.__getitem__, tokens(t))))
             counts_.append(len(got))
             known.append(int((got > 0).sum()))
             base.append(float(got.sum() - away * len(got)))
-        m = Mixer(*coded.value, _tables(given["id"], given["token"], buckets))
+        m = Mixer(*coded.value, _tables(given["id"], given["odds"], buckets))
         m.weights = weights
         final, at = [], 0
         found = places(_all_keys(docs_["text"].combine_chunks(), docs_["learns"]), coded.value[1])
@@ -561,8 +581,8 @@ def scored(docs: DataFrame) -> DataFrame:
             final.append(m.log10(some, [f[at : at + long] for f in found]))
             at += long
         final = np.concatenate(final)
-        cols = [docs_["doc_id"], pa.array([not x for x in docs_["learns"].to_pylist()]), pa.array(counts_, pa.int64()), pa.array(known, pa.int64()), pa.array([n] * len(texts), pa.int64()), pa.array(base), pa.array(final)]
+        cols = [docs_["doc_id"], pa.array([not x for x in learn]), pa.array(counts_, pa.int64()), pa.array(known, pa.int64()), pa.array([n] * len(texts), pa.int64()), pa.array(base), pa.array(final)]
         return pa.table(cols, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     out = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return dealt.groupBy("chunk").cogroup(asked.groupBy("chunk")).applyInArrow(score, out)
+    return dealt.groupBy("chunk").cogroup(answers.select("chunk", "id", "odds").groupBy("chunk")).applyInArrow(score, out)
