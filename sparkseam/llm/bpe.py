@@ -24,10 +24,12 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
+from sparkseam.llm.common import give_back
+
 RANKS = "byte_bpe_50k.tiktoken"
 #: Words encoded by one query, strings that a task keeps, and rows and characters looked up at once.
 WORDS_AT_ONCE, STRINGS_KEPT = 20_000, 400_000
-ROWS_AT_ONCE, CHARS_AT_ONCE = 5000, 8_000_000
+ROWS_AT_ONCE, CHARS_AT_ONCE = 5000, 5_000_000
 #: Longer words are encoded in blocks of so many bytes, of which each begins half a block after the one before.
 LONG = 256
 #: After letters alone, these are a word of their own.
@@ -214,6 +216,7 @@ def encoded(docs: DataFrame, schema: str, columns: Callable[[pa.RecordBatch, pa.
         names, enc = [c.split()[0] for c in schema.split(", ")], encoder(path)
         for part in sliced(batches, ROWS_AT_ONCE, CHARS_AT_ONCE):
             yield pa.RecordBatch.from_arrays(columns(part, *enc.texts(part.column("text"))), names)
+            give_back()
 
     return docs.mapInArrow(run, schema)
 

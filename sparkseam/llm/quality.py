@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkseam.llm.common import give_back
+
 BITS = 18
 ORDERS = (1, 2, 3, 4)
 #: At most so many labelled rows are learned from, those of the lowest hash of doc_id; all rows are scored.
@@ -167,5 +169,6 @@ def kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield b.filter(pa.array([model is None or model.score(t) >= CUT for t in b.column("text").to_pylist()], pa.bool_()))
+            give_back()
 
     return docs.mapInArrow(keep, docs.schema)

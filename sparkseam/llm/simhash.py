@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkseam.llm import linking
-from sparkseam.llm.common import written
+from sparkseam.llm.common import give_back, written
 from sparkseam.llm.graph import components
 
 RADIUS = 3
@@ -50,6 +50,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for b in batches:
         f = np.array([fingerprint(x) for x in b.column("text").to_pylist()], "<u8").view("<i8")
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(f)], ["doc_id", "fp"])
+        give_back()
 
 
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

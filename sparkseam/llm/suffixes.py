@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkseam.llm.common import n_parts, written
+from sparkseam.llm.common import give_back, written
 
 LENGTH = 50
 KMER = 20
@@ -26,6 +26,8 @@ KMER = 20
 PIECE, SHARD = 1 << 19, 1 << 17
 #: Closes a stretch: never a byte of UTF-8.
 END = 255
+#: Bytes of text whose stretches make a bucket, on average.
+BUCKET = 4 << 20
 #: Merged spans up to which they are broadcast.
 MOST_SPANS, MOST_DOCS = 3_000_000, 400_000
 
@@ -127,6 +129,7 @@ def _dealt(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Recor
                 out.append((int(k), *cols, anchor[o].tobytes(), own[o].tobytes(), index.astype(np.uint16).tobytes(), start[o].astype(np.uint32).tobytes(), n[o].astype(np.uint8).tobytes()))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), [pa.int32(), *[pa.list_(pa.int64())] * 3, *[pa.binary()] * 5], strict=True)], names)
+        give_back()
 
 
 SPANS = "bucket int, doc long, row long, start long, n int, ask boolean"
@@ -157,6 +160,7 @@ def _classified(t: pa.Table) -> pa.Table:
     keep = several & (later | unlike)
     k = o[keep]
     cols = [pa.array(np.full(len(k), t["bucket"][0].as_py(), np.int32)), pa.array(doc[k]), pa.array(row[k]), pa.array(start[k].astype(np.int64)), pa.array(n[k].astype(np.int32)), pa.array(~later[keep])]
+    give_back()
     return pa.table(cols, ["bucket", "doc", "row", "start", "n", "ask"])
 
 
@@ -251,6 +255,7 @@ def _compared(t: pa.Table) -> pa.Table:
     found = repeated(strings, doc)
     k = np.array([f[0] for f in found], np.int64)
     cols = [pa.array(doc[k]), pa.array(row[k]), pa.array(start[k] + np.array([f[1] for f in found], np.int64)), pa.array([f[2] for f in found], pa.int32())]
+    give_back()
     return pa.table(cols, ["doc", "row", "start", "n"])
 
 
@@ -274,9 +279,8 @@ def repeats(docs: DataFrame) -> DataFrame:
     Null texts are empty. Rows without a doc_id come after all others. Rows of one doc_id are one document: they don't
     take from each other. Of docs' columns only doc_id and text are looked at.
     """
-    spark = docs.sparkSession
     keyed = docs.select(F.struct(*docs.columns).alias("d"), "text", F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc"), F.xxhash64("text").alias("row"))
-    buckets = min(60_000, 4 * n_parts(spark))
+    buckets = 1 + keyed.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] // BUCKET
     dealt = keyed.select("doc", "row", "text").mapInArrow(lambda it: _dealt(it, buckets), STRETCHES)
     spans = written(dealt.groupBy("bucket").applyInArrow(_classified, SPANS))
 
