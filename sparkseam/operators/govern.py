@@ -14,6 +14,22 @@ def suppress(posts: DataFrame, removals: DataFrame, keys: list[str]) -> DataFram
     return posts
 
 
+def suppress_removed(posts: DataFrame, removals: DataFrame) -> DataFrame:
+    """Posts that no completed removal request of the same source names, by post id, author (whatever the case) or address.
+
+    posts: (source, source_post_id, author_handle, url, …); posts without source or id are dropped, as nothing could name them.
+    removals: (source, source_post_id, author_handle, source_url, status). One anti join per identity.
+    """
+    bare = lambda c: F.nullif(F.trim(F.col(c).cast("string")), F.lit(""))
+    d = posts.withColumns({"_source": F.lower(bare("source")), "_id": bare("source_post_id"), "_author": F.lower(bare("author_handle")), "_url": bare("url")})
+    d = d.where("_source IS NOT NULL AND _id IS NOT NULL")
+    done = removals.where("status = 'completed'")
+    for own, other in (("_id", bare("source_post_id")), ("_author", F.lower(bare("author_handle"))), ("_url", bare("source_url"))):
+        named = done.select(F.col("source").alias("_source"), other.alias(own)).where(F.col(own).isNotNull()).distinct()
+        d = d.join(named, ["_source", own], "left_anti")
+    return d.select(posts.columns)
+
+
 def cascade(parents: DataFrame, children: DataFrame, parent_key: str, child_key: str) -> DataFrame:
     """Children whose parent is left."""
     return children.join(parents.select(F.col(parent_key).alias(child_key)).distinct(), child_key, "left_semi")

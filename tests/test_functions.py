@@ -123,10 +123,15 @@ def test_patterns_need_two_distinct_matches(spark):
 
 
 def test_web_functions():
-    assert web.text_of("<p>a &amp; b</p><div>c<br>d</div>") == "a & b\nc\nd"
+    assert web.text_of("<p>a &amp; b</p><div>c<br>d</div>") == "a & b c d"
+    assert web.text_of("a<b>b</b> &amp;lt;x&gt;<!-- no --> 1 < 2") == "ab <x> 1 < 2"
     assert web.text_of(None) == ""
-    assert web.hero_of("<title>T</title><nav><p>x</p></nav><h1>H</h1><li>one</li><p>one</p>") == "# T\n# H\n- one\none"
-    assert web.without_boilerplate("![i](u)\nKeep\nkeep\n\n\nAll rights reserved\nEnd") == "Keep\n\nEnd"
+    page = "<title>Tool</title><nav><p>inside</p></nav><h1>H 1</h1><template><p>no</p></template><li>one</li><p>one</p><p>Menu</p><p>ab</p><h3>Sub</h3><h4>not a block</h4>"
+    assert web.hero_of(page) == "Tool\ninside\n# H 1\n- one\none\n## Sub"
+    assert web.hero_of("<p>" + "</p><p>".join(f"block {k}" for k in range(40)) + "</p>").count("\n") == 31
+    assert web.without_boilerplate("![i](u)\nKeep\nkeep\n\n\nAll rights reserved\n  End  \nTerms of Service\nMain navigation\nsubscribe") == "Keep\n\nEnd\nsubscribe"
+    assert web.without_boilerplate("[![a](b)](c)x\n" + "copyright " * 20 + "\ndata:image/png;base64,AAAA") == "x\n" + ("copyright " * 20).strip()
+    assert web.without_boilerplate(None) == ""
 
 
 def test_sources_and_sinks(spark, tmp_path):
