@@ -13,6 +13,7 @@ import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -21,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkseam.llm.bpe import Kept
+from sparkseam.llm.bpe import Kept, split
 from sparkseam.llm.common import n_parts, shared_dir
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -30,7 +31,7 @@ END_ID = 0
 CLOSERS = ".,"
 #: Parts of texts whose ids a worker keeps from task to task, and texts looked up at once.
 PARTS_KEPT, AT_ONCE = 900_000, 5000
-#: Parts of letters that are handed to the library as one list.
+#: Parts that are handed to the library as one list.
 PARTS_AT_ONCE = 500
 BITS = 16
 BLOCK = 512
@@ -120,7 +121,7 @@ class Tokens:
         self.lib = Tokenizer.from_file(path)
         self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
         self.opens = np.array([(self.lib.id_to_token(i) or "").startswith("Ġ") for i in range(self.lib.get_vocab_size())])
-        # The same library for strings of letters, which are one word each: nothing to find word boundaries in.
+        # The same library for words that are already apart.
         self.words = Tokenizer.from_file(path)
         self.words.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.later = Kept(lambda parts: [(x,) for x in self.after_space(parts)], 1, PARTS_KEPT)
@@ -133,17 +134,18 @@ class Tokens:
         return out
 
     def after_space(self, parts: list[str]) -> list[bytes]:
-        """The ids of each part with a space before it; many parts of letters go as one list and are cut at the tokens that open with a space."""
-        out: dict[int, bytes] = {}
-        letters = [k for k, p in enumerate(parts) if p.isalpha()]
-        runs = [letters[at : at + PARTS_AT_ONCE] for at in range(0, len(letters), PARTS_AT_ONCE)]
-        for run, coded in zip(runs, self.words.encode_batch_fast([[" " + parts[k] for k in run] for run in runs], is_pretokenized=True, add_special_tokens=False), strict=True):
+        """The ids of each part with a space before it; many parts' words go as one list, cut at the tokens that open with a space."""
+        out: list[bytes] = []
+        runs = [[[" " + p] if p.isalpha() else split(" " + p) for p in parts[at : at + PARTS_AT_ONCE]] for at in range(0, len(parts), PARTS_AT_ONCE)]
+        for n, coded in enumerate(self.words.encode_batch_fast([list(chain.from_iterable(run)) for run in runs], is_pretokenized=True, add_special_tokens=False)):
             ids = np.array(coded.ids, np.uint16)
-            raw, cuts = ids.tobytes(), [*(2 * np.flatnonzero(self.opens[ids])).tolist(), 2 * len(ids)]
-            out.update((k, raw[a:b]) for k, a, b in zip(run, cuts[:-1], cuts[1:], strict=True))
-        rest = [k for k in range(len(parts)) if k not in out]
-        out.update(zip(rest, self.encode([" " + parts[k] for k in rest]), strict=True))
-        return [out[k] for k in range(len(parts))]
+            cuts = [*(2 * np.flatnonzero(self.opens[ids])).tolist(), 2 * len(ids)]
+            if len(cuts) == len(runs[n]) + 1:
+                raw = ids.tobytes()
+                out += [raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            else:  # parts that begin with white space of their own
+                out += self.encode([" " + p for p in parts[n * PARTS_AT_ONCE :][: len(runs[n])]])
+        return out
 
     def texts(self, texts: pa.Array) -> Iterator[bytes]:
         """The 16-bit ids of each text, END_ID last."""
