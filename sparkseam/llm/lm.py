@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkseam.llm.common import written
+from sparkseam.llm.common import give_back, written
 
 END = 256
 SYMBOLS = 257
@@ -36,7 +36,7 @@ GATES = 30
 BLOCK, RATE = 512, 0.02
 #: Of so many training texts one, by the hash of doc_id, is what the weights are fitted to, with the counts of the others only.
 TUNING_TEXTS = 16
-CHUNK_BYTES = 9_000_000
+CHUNK_BYTES = 6_000_000
 #: Bytes of text whose pairs of one predictor meet in one task.
 BUCKET_BYTES = 16_000_000
 PIECE = 1 << 18
@@ -461,6 +461,7 @@ def answered(t: pa.Table, code: np.ndarray, size: np.ndarray) -> pa.Table:
         path = np.repeat(ends[k] - np.cumsum(sizes[k]), sizes[k]) + np.arange(sizes[k].sum())
         got.append(packed(every[path]))
         apart.append(packed(some[path]) if tune else None)
+    give_back()
     none = pa.nulls(len(got), pa.int64())
     return pa.table([t["chunk"], t["id"], pa.array(got, pa.binary()), pa.array(apart, pa.binary()), none, none], ANSWERS)
 
@@ -535,6 +536,7 @@ def scored(docs: DataFrame) -> DataFrame:
             joined = zstandard.ZstdCompressor(level=1).compress(b"\n".join(words[cuts[b] : cuts[b + 1]]))
             for col, v in zip(cols, (PREDICTORS * buckets + int(b), joined, packed(n_[cuts[b] : cuts[b + 1]])), strict=True):
                 col.append(v)
+        give_back()
         return pa.table([pa.array([t["chunk"][0].as_py()] * len(cols[0]), pa.int64()), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())], ["chunk", "id", "keys", "counts"])
 
     asks = dealt.groupBy("chunk").applyInArrow(pairs, "chunk long, id long, keys binary, counts binary")
@@ -553,6 +555,8 @@ def scored(docs: DataFrame) -> DataFrame:
             at += len(s)
             kinds.append(k.tobytes())
             counts_.append(c.tobytes())
+        del found, m
+        give_back()
         return pa.table([pa.array(kinds, pa.binary()), pa.array(counts_, pa.binary())], ["kinds", "n"])
 
     fitted = Mixer(code, size, [])
@@ -581,6 +585,8 @@ def scored(docs: DataFrame) -> DataFrame:
             final.append(m.log10(some, [f[at : at + long] for f in found]))
             at += long
         final = np.concatenate(final)
+        del found, m, given
+        give_back()
         cols = [docs_["doc_id"], pa.array([not x for x in learn]), pa.array(counts_, pa.int64()), pa.array(known, pa.int64()), pa.array([n] * len(texts), pa.int64()), pa.array(base), pa.array(final)]
         return pa.table(cols, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
