@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -13,9 +14,14 @@ from pyspark.sql import functions as F
 def run_available(spark: SparkSession, table: DataFrame, logic: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
     """logic over a stream of the table's files, until all are used; the last state of the result as a table.
 
-    The stream's checkpoint and result lie in the shared folder named by spark.checkpoint.dir, or a temporary one.
+    The stream's checkpoint and result lie in the shared folder named by spark.checkpoint.dir; where that is unset, in a
+    temporary one if Spark runs in one process.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
     files = table.inputFiles()
     folder = files[0].rsplit("/", 1)[0]
