@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import itertools
 import re
 import sys
 import tempfile
@@ -62,8 +63,13 @@ def n_parts(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def give_back() -> None:
-    """Returns freed memory to the system: Spark keeps a task's Python worker for later tasks, beside the executor's heap."""
+_CALLS = itertools.count()
+
+
+def give_back(every: int = 1) -> None:
+    """Returns freed memory to the system, at one of `every` calls: Spark keeps a task's Python worker for later tasks, beside the executor's heap."""
+    if next(_CALLS) % every:
+        return
     pa.default_memory_pool().release_unused()
     if sys.platform == "linux" and hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
         libc.malloc_trim(0)

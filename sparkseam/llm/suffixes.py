@@ -160,7 +160,7 @@ def _classified(t: pa.Table) -> pa.Table:
     keep = several & (later | unlike)
     k = o[keep]
     cols = [pa.array(np.full(len(k), t["bucket"][0].as_py(), np.int32)), pa.array(doc[k]), pa.array(row[k]), pa.array(start[k].astype(np.int64)), pa.array(n[k].astype(np.int32)), pa.array(~later[keep])]
-    give_back()
+    give_back(every=8)
     return pa.table(cols, ["bucket", "doc", "row", "start", "n", "ask"])
 
 
@@ -255,7 +255,7 @@ def _compared(t: pa.Table) -> pa.Table:
     found = repeated(strings, doc)
     k = np.array([f[0] for f in found], np.int64)
     cols = [pa.array(doc[k]), pa.array(row[k]), pa.array(start[k] + np.array([f[1] for f in found], np.int64)), pa.array([f[2] for f in found], pa.int32())]
-    give_back()
+    give_back(every=8)
     return pa.table(cols, ["doc", "row", "start", "n"])
 
 
