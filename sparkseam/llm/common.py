@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import functools
 import itertools
 import re
 import sys
@@ -64,6 +65,16 @@ def n_parts(spark: SparkSession, least: int = 1) -> int:
 
 
 _CALLS = itertools.count()
+#: glibc's numbers of the sizes from which it maps an array apart and gives the heap's end back.
+_TRIM_THRESHOLD, _MMAP_THRESHOLD = -1, -3
+
+
+@functools.cache
+def hold_memory() -> None:
+    """Freed arrays stay with this worker until give_back(): else the system clears their pages anew for every array."""
+    if sys.platform == "linux" and hasattr(libc := ctypes.CDLL(None), "mallopt"):
+        libc.mallopt(_MMAP_THRESHOLD, 1 << 30)
+        libc.mallopt(_TRIM_THRESHOLD, 1 << 30)
 
 
 def give_back(every: int = 1) -> None:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkseam.llm.common import give_back, written
+from sparkseam.llm.common import give_back, hold_memory, written
 
 LENGTH = 50
 KMER = 20
@@ -26,6 +26,8 @@ KMER = 20
 PIECE, SHARD = 1 << 19, 1 << 17
 #: Closes a stretch: never a byte of UTF-8.
 END = 255
+#: Characters by which a shard's suffixes are compared at once: a 64-bit number's.
+HEAD = 8
 #: Bytes of text whose stretches make a bucket, on average.
 BUCKET = 4 << 20
 #: Merged spans up to which they are broadcast.
@@ -111,6 +113,7 @@ STRETCHES = "bucket int, docs array<bigint>, rows array<bigint>, offsets array<b
 
 def _dealt(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     names = [c.split()[0] for c in STRETCHES.split(", ")]
+    hold_memory()
     for b in batches:
         for some in _pieces(_rows(b)):
             sizes = np.array([len(x[3]) for x in some])
@@ -137,6 +140,7 @@ SPANS = "bucket int, doc long, row long, start long, n int, ask boolean"
 
 def _classified(t: pa.Table) -> pa.Table:
     """Spans that an earlier document's equal stretch repeats, and (ask) the first documents' stretches that are to be compared."""
+    hold_memory()
     anchor, own, doc, row, start, n = [], [], [], [], [], []
     for r in range(t.num_rows):
         part = np.frombuffer(t["part"][r].as_buffer(), np.uint16)
@@ -164,16 +168,20 @@ def _classified(t: pa.Table) -> pa.Table:
     return pa.table(cols, ["bucket", "doc", "row", "start", "n", "ask"])
 
 
-def transform(text: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order of a shard's suffixes and the character before each. text: strings, each closed by END at `ends`."""
+def transform(text: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order of a shard's suffixes, the character before each, and each one's first HEAD characters as a number (0 after END).
+
+    text: strings, each closed by END at `ends`.
+    """
     n = len(text)
     last = np.repeat(ends, np.diff(np.concatenate([[-1], ends])))
     at = np.arange(n)
     wide = np.concatenate([text, np.zeros(8, np.uint8)])
     key = np.zeros(n, np.uint64)
-    for k in range(8):
+    for k in range(HEAD):
         key = (key << np.uint64(8)) | np.where(at + k <= last, wide[k : k + n], 0).astype(np.uint64)
-    depth, longest = 8, int(np.diff(np.concatenate([[-1], ends])).max())
+    head = key
+    depth, longest = HEAD, int(np.diff(np.concatenate([[-1], ends])).max())
     while True:
         order = np.argsort(key, kind="stable")
         sorted_ = key[order]
@@ -185,20 +193,24 @@ def transform(text: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
         key = (rank[:n] << np.uint64(32)) | rank[np.where(at + depth <= last, at + depth, n)]
         depth *= 2
     before = np.concatenate([[END], text[:-1]]).astype(np.uint8)
-    return order, before[order]
+    return order, before[order], head[order]
 
 
-def merged(shards: list[np.ndarray], rounds: int = LENGTH) -> np.ndarray:
+def merged(shards: list[np.ndarray], rounds: int = LENGTH, heads: list[np.ndarray] | None = None) -> np.ndarray:
     """Which shard each row of the merged transform is from. shards: their transforms, each with as many ENDs as strings.
 
     The interleaving begins with one shard after the other; a round sorts it, stably, by the characters of the shards'
-    transforms, and then it is right for one character more. Rows of END itself stay in the shards' order.
+    transforms, and then it is right for one character more. Rows of END itself stay in the shards' order. With heads, the
+    shards' rows' first HEAD characters in order, it begins right for HEAD characters, by a merge of these runs.
     """
     sizes = [len(s) for s in shards]
     kind = np.uint8 if len(shards) < 256 else np.uint16
     chars = np.concatenate(shards)
     z = np.repeat(np.arange(len(shards), dtype=kind), sizes)
     finish = np.concatenate([np.full((s == END).sum(), k, kind) for k, s in enumerate(shards)])
+    if heads and len(shards) > 1:
+        z = z[np.argsort(np.concatenate(heads), kind="stable")]
+        rounds -= HEAD
     b = np.empty(len(z), np.uint8)
     for _ in range(rounds):
         b[np.argsort(z, kind="stable")] = chars
@@ -217,13 +229,14 @@ def repeated(strings: list[bytes], docs: np.ndarray) -> list[tuple[int, int, int
     ends = np.cumsum(size + 1) - 1
     shard = (ends // SHARD).astype(np.int64)
     cuts = np.concatenate([[0], np.flatnonzero(np.diff(shard)) + 1, [len(strings)]])
-    orders, lasts = [], []
+    orders, lasts, heads = [], [], []
     for a, e in zip(cuts[:-1], cuts[1:], strict=True):
         from_ = ends[a] - size[a]
-        order, before = transform(text[from_ : ends[e - 1] + 1], ends[a:e] - from_)
+        order, before, head = transform(text[from_ : ends[e - 1] + 1], ends[a:e] - from_)
         orders.append(order + from_)
         lasts.append(before)
-    z = merged(lasts)
+        heads.append(head)
+    z = merged(lasts, heads=heads)
     rows = np.empty(len(text), np.int64)
     rows[np.argsort(z, kind="stable")] = np.concatenate(orders)
     # Common prefixes of neighbours: whole windows in steps of eight bytes.
@@ -250,6 +263,7 @@ def repeated(strings: list[bytes], docs: np.ndarray) -> list[tuple[int, int, int
 
 
 def _compared(t: pa.Table) -> pa.Table:
+    hold_memory()
     doc, row, start = (t[c].to_numpy() for c in ("doc", "row", "start"))
     strings = t["bytes"].to_pylist()
     found = repeated(strings, doc)
