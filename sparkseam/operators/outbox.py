@@ -65,3 +65,31 @@ def unsubscribe(outbox: DataFrame, suppressions: DataFrame, tokens: DataFrame) -
 def qualified(status: Column) -> Column:
     """Status after a human qualification: only what is ready becomes qualified; all else stays."""
     return F.when(status == "ready_for_review", "qualified").otherwise(status)
+
+
+def intervene(emails: DataFrame, actions: DataFrame, done: DataFrame, now: Column) -> DataFrame:
+    """emails (tenant, user_id, status, next_retry_at, ...) after operators' actions, each key once: suppress or cooldown.
+
+    actions: (tenant, user_id, action, days, key, at); done: (key) of earlier ones, which aren't applied again. Of several on
+    an account the last by (at, key) decides; other actions are only logged.
+    """
+    new = actions.join(done.select("key"), "key", "left_anti").where(F.col("action").isin("suppress", "cooldown"))
+    first = new.groupBy("key").agg(F.min_by(F.struct("tenant", "user_id", "action", "days", "at"), F.struct("at", "tenant", "user_id")).alias("a")).select("key", "a.*")
+    last = first.groupBy("tenant", "user_id").agg(F.max_by(F.struct("action", "days"), F.struct("at", "key")).alias("_a"))
+    j = emails.join(last, ["tenant", "user_id"], "left")
+    status = F.when(F.col("_a.action") == "suppress", "suppressed").when(F.col("_a.action") == "cooldown", "cooldown").otherwise(F.col("status"))
+    retry = F.when(F.col("_a.action") == "cooldown", now + F.make_interval(days=F.col("_a.days"))).otherwise(F.col("next_retry_at"))
+    return j.withColumn("status", status).withColumn("next_retry_at", retry).select(emails.columns)
+
+
+def operator_claim(holder: Column, operator: Column) -> Column:
+    """What an operator's claim of an account gives: claimed, already_claimed (by them) or taken (by another)."""
+    return F.when(holder.isNull(), "claimed").when(holder == operator, "already_claimed").otherwise("taken")
+
+
+def requeued(emails: DataFrame, accounts: DataFrame, now: Column) -> DataFrame:
+    """emails (tenant, user_id, status, failure_stage, next_retry_at, ...) with the accounts' dead letters pending again."""
+    j = emails.join(accounts.select("tenant", "user_id", F.lit(True).alias("_again")).distinct(), ["tenant", "user_id"], "left")
+    dead = F.col("_again") & (F.col("status") == "dead_lettered")
+    new = {"next_retry_at": F.when(dead, now).otherwise(F.col("next_retry_at")), "failure_stage": F.when(~F.coalesce(dead, F.lit(False)), F.col("failure_stage")), "status": F.when(dead, "pending_dispatch").otherwise(F.col("status"))}
+    return j.withColumns(new).select(emails.columns)

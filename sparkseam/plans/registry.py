@@ -691,5 +691,5 @@ def _(t, spark) -> DataFrame:
     return jobs.window_totals(spark, t("events"))
 
 
-# The queries of the other module register themselves by query() above.
-from sparkseam.plans import records  # noqa: E402, F401
+# The queries of the other modules register themselves by query() above.
+from sparkseam.plans import inputs, records  # noqa: E402, F401

@@ -23,3 +23,8 @@ def recordset(df: DataFrame, column: str, fields: str) -> DataFrame:
 
 def json_number(c: Column, key: str) -> Column:
     return F.get_json_object(c, f"$.{key}").try_cast("bigint")
+
+
+def staged(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Records that a fetch job left as NDJSON files below path (sinks.archive()'s too); rows that are no JSON go to _bad."""
+    return spark.read.schema(f"{schema}, _bad string").option("columnNameOfCorruptRecord", "_bad").json(path)

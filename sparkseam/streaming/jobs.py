@@ -50,3 +50,13 @@ def window_totals(spark: SparkSession, events: DataFrame, width: str = "1 day")
         return s.groupBy("user_id", w).agg(F.count("*").alias("n")).select("user_id", F.col("window.start").cast("timestamp_ntz").alias("window_start"), "n")
 
     return run_available(spark, events, totals, "complete")
+
+
+def distinct_within(spark: SparkSession, events: DataFrame, keys: list[str], ts: str, delay: str = "1 hour") -> DataFrame:
+    """The keys of events, once each within the delay: state is dropped when the watermark has passed it."""
+    return run_available(spark, events, lambda s: s.select(*keys, F.col(ts).cast("timestamp").alias("_ts")).withWatermark("_ts", delay).dropDuplicatesWithinWatermark(keys).select(*keys), "append")
+
+
+def fan_out(spark: SparkSession, posts: DataFrame, profiles: DataFrame, on: list[str], keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Each new post with every profile that shares its values of `on`, of which keep() leaves the matches: a stream-static join."""
+    return run_available(spark, posts, lambda s: keep(s.join(profiles, on)), "append")
