@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import functools
-import itertools
 import re
 import sys
 import tempfile
@@ -64,23 +63,27 @@ def n_parts(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-_CALLS = itertools.count()
-#: glibc's numbers of the sizes from which it maps an array apart and gives the heap's end back.
+#: glibc's numbers of the sizes from which it maps an array apart and gives the heap's end back, and what it comes to by itself.
 _TRIM_THRESHOLD, _MMAP_THRESHOLD = -1, -3
+_USUAL = {_MMAP_THRESHOLD: 32 << 20, _TRIM_THRESHOLD: 64 << 20}
 
 
 @functools.cache
+def _libc():
+    return ctypes.CDLL(None) if sys.platform == "linux" else None
+
+
 def hold_memory() -> None:
     """Freed arrays stay with this worker until give_back(): else the system clears their pages anew for every array."""
-    if sys.platform == "linux" and hasattr(libc := ctypes.CDLL(None), "mallopt"):
-        libc.mallopt(_MMAP_THRESHOLD, 1 << 30)
-        libc.mallopt(_TRIM_THRESHOLD, 1 << 30)
+    if hasattr(_libc(), "mallopt"):
+        for what in _USUAL:
+            _libc().mallopt(what, 1 << 30)
 
 
-def give_back(every: int = 1) -> None:
-    """Returns freed memory to the system, at one of `every` calls: Spark keeps a task's Python worker for later tasks, beside the executor's heap."""
-    if next(_CALLS) % every:
-        return
+def give_back() -> None:
+    """Returns freed memory to the system: Spark keeps a task's Python worker for later tasks, beside the executor's heap."""
     pa.default_memory_pool().release_unused()
-    if sys.platform == "linux" and hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
-        libc.malloc_trim(0)
+    if hasattr(_libc(), "malloc_trim"):
+        for what, size in _USUAL.items():
+            _libc().mallopt(what, size)
+        _libc().malloc_trim(0)

@@ -113,8 +113,8 @@ STRETCHES = "bucket int, docs array<bigint>, rows array<bigint>, offsets array<b
 
 def _dealt(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     names = [c.split()[0] for c in STRETCHES.split(", ")]
-    hold_memory()
     for b in batches:
+        hold_memory()
         for some in _pieces(_rows(b)):
             sizes = np.array([len(x[3]) for x in some])
             start, n, anchor, own = stretches(b"".join(x[3] for x in some), sizes)
@@ -164,7 +164,7 @@ def _classified(t: pa.Table) -> pa.Table:
     keep = several & (later | unlike)
     k = o[keep]
     cols = [pa.array(np.full(len(k), t["bucket"][0].as_py(), np.int32)), pa.array(doc[k]), pa.array(row[k]), pa.array(start[k].astype(np.int64)), pa.array(n[k].astype(np.int32)), pa.array(~later[keep])]
-    give_back(every=8)
+    give_back()
     return pa.table(cols, ["bucket", "doc", "row", "start", "n", "ask"])
 
 
@@ -269,7 +269,7 @@ def _compared(t: pa.Table) -> pa.Table:
     found = repeated(strings, doc)
     k = np.array([f[0] for f in found], np.int64)
     cols = [pa.array(doc[k]), pa.array(row[k]), pa.array(start[k] + np.array([f[1] for f in found], np.int64)), pa.array([f[2] for f in found], pa.int32())]
-    give_back(every=8)
+    give_back()
     return pa.table(cols, ["doc", "row", "start", "n"])
 
 
