@@ -11,43 +11,70 @@ from pyspark.sql import functions as F
 
 from sparkseam.functions import text as X
 
-#: Query vectors that meet a batch of posts at once.
-BLOCK = 512
+#: Query vectors and posts of a block; two blocks meet at once.
+BLOCK, POSTS = 512, 2048
+
+
+def _blocks(vectors: DataFrame, rows: int) -> DataFrame:
+    """(dim, block, ids, data) of (id, embedding): vectors of one dimension, about so many a row, as little-endian bytes."""
+    fit = vectors.where(F.col("id").isNotNull() & F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))).select("id", F.col("embedding").cast("array<double>").alias("embedding"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+
+        def row(dim: int) -> pa.RecordBatch:
+            ids, data = (np.concatenate(x) for x in zip(*kept.pop(dim), strict=True))
+            return pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([ids.astype("<i8").tobytes()]), pa.array([data.astype("<f8").tobytes()])], ["dim", "ids", "data"])
+
+        for b in batches:
+            e = b.column("embedding")
+            dims, ids, flat = e.value_lengths().to_numpy(), b.column("id").to_numpy(), e.flatten().to_numpy()
+            starts = np.cumsum(dims) - dims
+            for dim in np.unique(dims).tolist():
+                at = np.flatnonzero(dims == dim)
+                for i in range(0, len(at), rows):
+                    some = at[i : i + rows]
+                    kept.setdefault(dim, []).append((ids[some], flat[starts[some, None] + np.arange(dim)]))
+                    if sum(len(x) for x, _ in kept[dim]) >= rows:
+                        yield row(dim)
+        for dim in list(kept):
+            yield row(dim)
+
+    return fit.mapInArrow(pack, "dim int, ids binary, data binary")
 
 
 def recall_topk(profiles: DataFrame, posts: DataFrame, k: int = 50, floor: float = 0.15) -> DataFrame:
     """(profile_id, post_id, score, rank): for each profile its k posts of highest cosine, at least floor; ties by id.
 
-    Both sides: (id, embedding). The query set is dealt into blocks and each block meets all posts; a batch keeps its best
-    k per profile, so what is shuffled doesn't grow with the number of pairs. Vectors of another dimension don't match,
-    zero vectors have cosine 0, null or non-finite ones are left out.
+    Both sides: (id, embedding). Each block of queries meets each block of posts in a row of its own and keeps its best k per
+    profile, so that what is read grows with the pairs of blocks, not of vectors. The pairs are dealt to as many tasks as
+    there are shuffle partitions. Vectors of another dimension don't match, zero vectors have cosine 0, null or non-finite
+    ones are left out.
     """
-    fit = lambda d: d.where(F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))).select("id", F.col("embedding").cast("array<double>").alias("embedding"), F.size("embedding").alias("dim"))
-    dealt = fit(profiles).withColumn("block", F.floor((F.row_number().over(Window.partitionBy("dim", F.pmod(F.xxhash64("id"), F.lit(64))).orderBy("id")) - 1) / BLOCK))
-    blocks = dealt.groupBy("dim", F.pmod(F.xxhash64("id"), F.lit(64)).alias("part"), "block").agg(F.collect_list(F.struct("id", "embedding")).alias("queries"))
-    pairs = fit(posts).join(blocks, "dim")
-
-    def unit(m: np.ndarray) -> np.ndarray:
+    tasks = int(posts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    q = _blocks(profiles, BLOCK).select("dim", F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))).alias("part"))
+    p = _blocks(posts, POSTS).withColumn("part", F.pmod(F.xxhash64("ids"), F.lit(tasks)).cast("int"))
+    pairs = p.join(q, ["dim", "part"])
+
+    def unit(ids: bytes, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+        i = np.frombuffer(ids, "<i8")
+        m = np.frombuffer(data, "<f8").reshape(len(i), -1)
         n = np.sqrt((m * m).sum(1, keepdims=True))
-        return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
+        return i, np.divide(m, n, out=np.zeros_like(m), where=n > 0)
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            groups: dict[tuple, list[int]] = {}
-            for r, key in enumerate(zip(*(b.column(c).to_pylist() for c in ("dim", "part", "block")), strict=True)):
-                groups.setdefault(key, []).append(r)
-            for rows in groups.values():
-                q = b.column("queries")[rows[0]].as_py()
-                some = b.take(pa.array(rows))
-                ids = np.array(some.column("id").to_pylist())
-                m = unit(np.array([x["embedding"] for x in q])) @ unit(np.array(some.column("embedding").to_pylist())).T
-                out: list[tuple] = []
-                for x, scores in zip(q, m, strict=True):
-                    hit = np.flatnonzero(scores >= floor)
-                    hit = hit[np.lexsort([ids[hit], -np.round(scores[hit], 12)])][:k]
-                    out += [(x["id"], i, s) for i, s in zip(ids[hit].tolist(), scores[hit].tolist(), strict=True)]
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["profile_id", "post_id", "score"])
+            for r in range(b.num_rows):
+                value = lambda c: b.column(c)[r].as_py()  # noqa: B023, E731
+                (ids, x), (q_ids, y) = unit(value("ids"), value("data")), unit(value("q_ids"), value("q_data"))
+                m = y @ x.T
+                at, hit = np.nonzero(m >= floor)
+                scores = m[at, hit]
+                order = np.lexsort([ids[hit], -np.round(scores, 12), at])
+                at, hit, scores = at[order], hit[order], scores[order]
+                first = np.arange(len(at)) - np.searchsorted(at, at) < k
+                if first.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(q_ids[at[first]]), pa.array(ids[hit[first]]), pa.array(scores[first])], ["profile_id", "post_id", "score"])
 
     found = pairs.mapInArrow(best, "profile_id long, post_id long, score double")
     w = Window.partitionBy("profile_id").orderBy(F.round("score", 12).desc(), "post_id")
