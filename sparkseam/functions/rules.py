@@ -126,7 +126,11 @@ def retries_crawl(error: Column, code: Column) -> Column:
 
 
 def _folded(c: Column) -> Column:
-    return F.lower(F.coalesce(X.normalize_space(c), F.lit("")))
+    """White space single and no case: capitals first, as a letter may become others by them (ß is SS), and one sigma for both.
+
+    The optimizer drops capitals right inside small letters, so that the sigma's replacement stands between.
+    """
+    return F.lower(F.translate(F.upper(F.coalesce(X.normalize_space(c), F.lit(""))), "Σ", "σ"))
 
 
 def is_verbatim(excerpt: Column, source: Column, least_chars: int = 8) -> Column:
