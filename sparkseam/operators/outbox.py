@@ -23,10 +23,15 @@ def decide(candidates: DataFrame, suppressed: DataFrame, contacted: DataFrame, q
     return c.join(admitted, ["user_id", "campaign"], "left").select("user_id", "campaign", F.when(F.col("outcome") != "pending", F.col("outcome")).when(F.col("ok"), "claimed").otherwise("rate_limited").alias("outcome"))
 
 
-def quota_windows(events: DataFrame, key: str, ts: str, id_: str, seconds: int, limit: int) -> DataFrame:
-    """events with window_start (epoch) and allowed: the first `limit` of a key's fixed window, by time and id."""
-    start = (F.floor(F.unix_seconds(F.col(ts).cast("timestamp")) / seconds) * seconds).cast("long")
-    w = Window.partitionBy(key, "window_start").orderBy(ts, id_)
+def quota_windows(events: DataFrame, key: str, ts: str, id_: str, seconds: int, limit: int, nearest: bool = False) -> DataFrame:
+    """events with window_start (epoch) and allowed: the first `limit` of a key's fixed window, by time and id.
+
+    A window goes by a time's whole second: the one it is in, or the nearest one (a half to the even one).
+    """
+    at = F.col(ts).cast("timestamp")
+    second = F.rint(F.unix_micros(at) / 1e6).cast("long") if nearest else F.unix_seconds(at)
+    start = second - F.pmod(second, F.lit(seconds))
+    w = Window.partitionBy(key, "window_start").orderBy(F.col(ts).asc_nulls_last(), F.col(id_).asc_nulls_last())
     return events.withColumn("window_start", start).withColumn("allowed", F.row_number().over(w) <= limit)
 
 
