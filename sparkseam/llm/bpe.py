@@ -28,8 +28,8 @@ from sparkseam.llm.common import give_back
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: Words encoded by one query, strings that a task keeps, and rows and characters looked up at once.
-WORDS_AT_ONCE, STRINGS_KEPT = 20_000, 400_000
-ROWS_AT_ONCE, CHARS_AT_ONCE = 5000, 5_000_000
+WORDS_AT_ONCE, STRINGS_KEPT = 10_000, 400_000
+ROWS_AT_ONCE, CHARS_AT_ONCE = 2000, 2_000_000
 #: Longer words are encoded in blocks of so many bytes, of which each begins half a block after the one before.
 LONG = 256
 #: After letters alone, these are a word of their own.
