@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import base64
 import bisect
-import functools
 import hashlib
 import re
 from collections.abc import Callable, Iterable, Iterator
@@ -24,7 +23,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from sparkseam.llm.common import give_back
+from sparkseam.llm.common import give_back, worker_kept
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: Words encoded by one query, strings that a task keeps, and rows and characters looked up at once.
@@ -202,7 +201,7 @@ class Encoder:
         return out[0], out[1]
 
 
-@functools.cache
+@worker_kept
 def encoder(path: str) -> Encoder:
     """The worker's Encoder: Spark's Python workers go on to further tasks, and then know the usual words."""
     return Encoder(path)
@@ -216,7 +215,7 @@ def encoded(docs: DataFrame, schema: str, columns: Callable[[pa.RecordBatch, pa.
         names, enc = [c.split()[0] for c in schema.split(", ")], encoder(path)
         for part in sliced(batches, ROWS_AT_ONCE, CHARS_AT_ONCE):
             yield pa.RecordBatch.from_arrays(columns(part, *enc.texts(part.column("text"))), names)
-            give_back()
+            give_back(encoder)
 
     return docs.mapInArrow(run, schema)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import gc
 import re
 import sys
 import tempfile
@@ -80,8 +81,25 @@ def hold_memory() -> None:
             _libc().mallopt(what, 1 << 30)
 
 
-def give_back() -> None:
-    """Returns freed memory to the system: Spark keeps a task's Python worker for later tasks, beside the executor's heap."""
+#: What a Python worker keeps from task to task.
+_KEPT: list = []
+
+
+def worker_kept(make):
+    """A cached function whose results stay with the Python worker until another operator's task calls give_back()."""
+    _KEPT.append(functools.cache(make))
+    return _KEPT[-1]
+
+
+def give_back(*used) -> None:
+    """Returns freed memory to the system: Spark keeps a task's Python worker for later tasks, beside the executor's heap.
+
+    What worker_kept() functions but those `used` hold is freed before: it is from an earlier stage.
+    """
+    if left := [f for f in _KEPT if f not in used and f.cache_info().currsize]:
+        for f in left:
+            f.cache_clear()
+        gc.collect()
     pa.default_memory_pool().release_unused()
     if hasattr(_libc(), "malloc_trim"):
         for what, size in _USUAL.items():
