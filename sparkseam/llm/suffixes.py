@@ -4,8 +4,8 @@ A string of LENGTH bytes is looked for through its anchor, the first of its KMER
 strings have equal anchors. Neighbouring windows of one anchor are one stretch of text. Stretches are dealt out by their
 anchor's hash; of equal ones the first document's alone goes on. Where an anchor has several different stretches, their
 texts are fetched, dealt into shards, and the shards' transforms are merged: an interleaving of the shards is
-refined by one more character a round, so that after LENGTH rounds equal windows lie side by side, and common prefixes
-of neighbours give the repeated intervals.
+refined by two more characters a round, until equal windows of LENGTH bytes lie side by side, and common prefixes of
+neighbours give the repeated intervals.
 """
 
 from __future__ import annotations
@@ -22,8 +22,10 @@ from sparkseam.llm.common import give_back, hold_memory, written
 
 LENGTH = 50
 KMER = 20
-#: Bytes of text worked on at once, and bytes of a shard of stretches.
+#: Bytes of text dealt out at once, and bytes of a shard of stretches.
 PIECE, SHARD = 1 << 19, 1 << 17
+#: Bytes of text hashed at once: few, so that the steps between stay in the processor's caches.
+NEAR = 1 << 15
 #: Closes a stretch: never a byte of UTF-8.
 END = 255
 #: Characters by which a shard's suffixes are compared at once: a 64-bit number's.
@@ -79,9 +81,14 @@ def stretches(raw: bytes, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
     w = np.flatnonzero(inside)
     if not len(w):
         return none
-    j = np.searchsorted(at, w)
-    while len(wrong := np.flatnonzero(h[at[j]] != low[w])):
+    low_at = np.zeros(len(h), np.int64)
+    low_at[at] = 1
+    j = (np.cumsum(low_at) - low_at)[w]  # the first at or after the window's start
+    wanted, found = low[w], h[at]
+    wrong = np.flatnonzero(found[j] != wanted)
+    while len(wrong):
         j[wrong] += 1
+        wrong = wrong[found[j[wrong]] != wanted[wrong]]
     begin = np.flatnonzero(np.concatenate([[True], (j[1:] != j[:-1]) | (w[1:] != w[:-1] + 1)]))
     start, anchor = w[begin], at[j[begin]]
     n = w[np.append(begin[1:], len(w)) - 1] - start + LENGTH
@@ -89,6 +96,19 @@ def stretches(raw: bytes, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
     return start, n, h[anchor], own
 
 
+def _stretches(texts: list[bytes]) -> tuple[np.ndarray, ...]:
+    """stretches() of texts laid end to end, worked out for a few at once."""
+    sizes = np.array([len(t) for t in texts])
+    run = (np.cumsum(sizes) - sizes) // NEAR
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(run)) + 1, [len(texts)]])
+    got, at = [], 0
+    for a, e in zip(cuts[:-1], cuts[1:], strict=True):
+        start, *rest = stretches(b"".join(texts[a:e]), sizes[a:e])
+        got.append((start + at, *rest))
+        at += int(sizes[a:e].sum())
+    return tuple(map(np.concatenate, zip(*got, strict=True)))
+
+
 def _pieces(docs: Iterator[tuple[int, int, bytes]]) -> Iterator[list[tuple[int, int, int, bytes]]]:
     """Runs of (doc, row, offset, bytes) of about PIECE bytes; long texts are cut so that each window is in one part."""
     held, size = [], 0
@@ -117,7 +137,7 @@ def _dealt(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Recor
         hold_memory()
         for some in _pieces(_rows(b)):
             sizes = np.array([len(x[3]) for x in some])
-            start, n, anchor, own = stretches(b"".join(x[3] for x in some), sizes)
+            start, n, anchor, own = _stretches([x[3] for x in some])
             ends = np.cumsum(sizes)
             part = np.searchsorted(ends, start, "right")
             start = start - (ends - sizes)[part]
@@ -169,7 +189,7 @@ def _classified(t: pa.Table) -> pa.Table:
 
 
 def transform(text: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Order of a shard's suffixes, the character before each, and each one's first HEAD characters as a number (0 after END).
+    """Order of a shard's suffixes, the two characters before each, and each one's first HEAD characters as a number (0 after END).
 
     text: strings, each closed by END at `ends`.
     """
@@ -182,39 +202,53 @@ def transform(text: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
         key = (key << np.uint64(8)) | np.where(at + k <= last, wide[k : k + n], 0).astype(np.uint64)
     head = key
     depth, longest = HEAD, int(np.diff(np.concatenate([[-1], ends])).max())
+    # Equal suffixes stay in the text's order: a suffix's number is the key's last bits where there is room, else the sort is stable.
+    bits = np.uint64(n.bit_length())
+    room = n.bit_length() * 3 <= 64
+    order = np.argsort(key, kind="stable" if longest <= HEAD else None)
+    sorted_ = key[order]
     while True:
-        order = np.argsort(key, kind="stable")
-        sorted_ = key[order]
         rank = np.empty(n + 1, np.uint64)
         rank[n] = 0
         rank[order] = np.cumsum(np.concatenate([[1], sorted_[1:] != sorted_[:-1]])).astype(np.uint64)
         if depth >= longest or rank[order[-1]] == n:
             break
-        key = (rank[:n] << np.uint64(32)) | rank[np.where(at + depth <= last, at + depth, n)]
+        key = (rank[:n] << bits) | rank[np.where(at + depth <= last, at + depth, n)]
+        if room:
+            sorted_ = np.sort(key << bits | at.astype(np.uint64))
+            order = (sorted_ & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+            sorted_ >>= bits
+        else:
+            order = np.argsort(key, kind="stable")
+            sorted_ = key[order]
         depth *= 2
-    before = np.concatenate([[END], text[:-1]]).astype(np.uint8)
+    before = np.roll(text, 2).astype(np.uint16) << np.uint16(8) | np.roll(text, 1)
     return order, before[order], head[order]
 
 
 def merged(shards: list[np.ndarray], rounds: int = LENGTH, heads: list[np.ndarray] | None = None) -> np.ndarray:
     """Which shard each row of the merged transform is from. shards: their transforms, each with as many ENDs as strings.
 
-    The interleaving begins with one shard after the other; a round sorts it, stably, by the characters of the shards'
-    transforms, and then it is right for one character more. Rows of END itself stay in the shards' order. With heads, the
-    shards' rows' first HEAD characters in order, it begins right for HEAD characters, by a merge of these runs.
+    The interleaving begins with one shard after the other; a step sorts it, stably, by the characters of the shards'
+    transforms, and then it is right for one character more. Rows of END itself stay in the shards' order. A round is two
+    steps: it sorts by the two characters before. Rows that pass END on the way, (x, END), are in the shards' order in
+    every round, and their places don't change. With heads, the shards' rows' first HEAD characters in order, the
+    interleaving begins right for HEAD characters, by a merge of these runs.
     """
-    sizes = [len(s) for s in shards]
     kind = np.uint8 if len(shards) < 256 else np.uint16
     chars = np.concatenate(shards)
-    z = np.repeat(np.arange(len(shards), dtype=kind), sizes)
-    finish = np.concatenate([np.full((s == END).sum(), k, kind) for k, s in enumerate(shards)])
+    z = np.repeat(np.arange(len(shards), dtype=kind), [len(s) for s in shards])
+    order = np.argsort(chars, kind="stable")
+    passing = np.flatnonzero(chars[order] & np.uint16(255) == END)
+    passed, finish = z[order[passing]], z[chars >> np.uint16(8) == END]
     if heads and len(shards) > 1:
         z = z[np.argsort(np.concatenate(heads), kind="stable")]
         rounds -= HEAD
-    b = np.empty(len(z), np.uint8)
-    for _ in range(rounds):
+    b = np.empty(len(z), np.uint16)
+    for _ in range(0, rounds, 2):
         b[np.argsort(z, kind="stable")] = chars
         new = z[np.argsort(b, kind="stable")]
+        new[passing] = passed
         new[len(new) - len(finish) :] = finish
         if np.array_equal(new, z):
             break
