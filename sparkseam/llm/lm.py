@@ -11,7 +11,6 @@ text's own refinement starts anew, so that its score doesn't depend on its neigh
 from __future__ import annotations
 
 import heapq
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -397,14 +396,29 @@ def fit_code(docs: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
     return prefix_code(pairs)
 
 
-def words_of(texts: list[str | None], learn: list[bool], buckets: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """A chunk's distinct tokens by bucket, where each bucket begins (and the last ends), and how often training texts hold each."""
-    c: Counter = Counter()
-    for text, taught in zip(texts, learn, strict=True):
-        c.update(tokens(text) if taught else dict.fromkeys(tokens(text), 0))
-    at = sorted((xxhash.xxh64_intdigest(w) % buckets, w) for w in c)
-    words = [w for _, w in at]
-    return words, np.searchsorted([b for b, _ in at], np.arange(buckets + 1)), np.fromiter(map(c.__getitem__, words), np.uint32, len(words))
+class Words:
+    """A chunk's distinct tokens by bucket, in order, and where each bucket begins (and the last ends).
+
+    place, n: for all texts' tokens, one text after the other, their places among the distinct ones, and each text's number of tokens.
+    """
+
+    def __init__(self, texts: list[str | None], buckets: int) -> None:
+        parts = [pa.array(tokens(t), pa.binary()) for t in texts]
+        self.n = np.array([len(p) for p in parts])
+        met = pa.concat_arrays(parts).dictionary_encode()
+        order = pc.sort_indices(met.dictionary)
+        words = met.dictionary.take(order).to_pylist()
+        bucket = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)) % np.uint64(buckets)
+        again = np.argsort(bucket, kind="stable")
+        self.words = [words[k] for k in again.tolist()]
+        self.cuts = np.searchsorted(bucket[again], np.arange(buckets + 1, dtype=np.uint64))
+        places_ = np.empty(len(words), np.int64)
+        places_[order.to_numpy()[again]] = np.arange(len(words))
+        self.place = places_[met.indices.to_numpy()]
+
+    def counts(self, learn: list[bool]) -> np.ndarray:
+        """How often training texts hold each of the distinct tokens."""
+        return np.bincount(self.place[np.repeat(np.array(learn, bool), self.n)], minlength=len(self.words)).astype(np.uint32)
 
 
 def counted(t: pa.Table) -> pa.Table:
@@ -531,9 +545,10 @@ def scored(docs: DataFrame) -> DataFrame:
             for b in np.flatnonzero(np.diff(cuts)):
                 for col, v in zip(cols, (k * buckets + int(b), packed(u[cuts[b] : cuts[b + 1]]), packed(c[cuts[b] : cuts[b + 1]])), strict=True):
                     col.append(v)
-        words, cuts, n_ = words_of(t["text"].to_pylist(), t["learns"].to_pylist(), buckets)
+        w = Words(t["text"].to_pylist(), buckets)
+        cuts, n_ = w.cuts, w.counts(t["learns"].to_pylist())
         for b in np.flatnonzero(np.diff(cuts)):
-            joined = zstandard.ZstdCompressor(level=1).compress(b"\n".join(words[cuts[b] : cuts[b + 1]]))
+            joined = zstandard.ZstdCompressor(level=1).compress(b"\n".join(w.words[cuts[b] : cuts[b + 1]]))
             for col, v in zip(cols, (PREDICTORS * buckets + int(b), joined, packed(n_[cuts[b] : cuts[b + 1]])), strict=True):
                 col.append(v)
         give_back()
@@ -568,16 +583,15 @@ def scored(docs: DataFrame) -> DataFrame:
         texts, learn = docs_["text"].to_pylist(), docs_["learns"].to_pylist()
         table, press = given.filter(pc.greater_equal(given["id"], PREDICTORS * buckets)).sort_by("id"), zstandard.ZstdDecompressor()
         c = np.frombuffer(b"".join(press.decompress(x.as_buffer()) for x in table["odds"]), np.int64)
-        value = dict(zip(words_of(texts, learn, buckets)[0], np.log10(c + 1.0).tolist(), strict=True))
-        away = np.log10(n + v + 1)
-        counts_, known, base = [], [], []
-        for t in texts:
-            got = np.array(list(map(value.__getitem__, tokens(t))))
-            counts_.append(len(got))
+        w = Words(texts, buckets)
+        counts_, away = w.n, np.log10(n + v + 1)
+        known, base = [], []
+        for got in np.split(np.log10(c + 1.0)[w.place], np.cumsum(counts_)[:-1]):
             known.append(int((got > 0).sum()))
             base.append(float(got.sum() - away * len(got)))
         m = Mixer(*coded.value, _tables(given["id"], given["odds"], buckets))
         m.weights = weights
+        del w
         final, at = [], 0
         found = places(_all_keys(docs_["text"].combine_chunks(), docs_["learns"]), coded.value[1])
         for some in _groups(docs_["text"].combine_chunks()):
