@@ -29,10 +29,14 @@ RANKS = "byte_bpe_50k.tiktoken"
 #: Words encoded by one query, strings that a task keeps, and rows and characters looked up at once.
 WORDS_AT_ONCE, STRINGS_KEPT = 20_000, 400_000
 ROWS_AT_ONCE, CHARS_AT_ONCE = 5000, 5_000_000
+#: Bytes of kept strings and what they become, beyond which all are forgotten: long words.
+BYTES_KEPT = 100_000_000
 #: Longer words are encoded in blocks of so many bytes, of which each begins half a block after the one before.
 LONG = 256
 #: After letters alone, these are a word of their own.
 CLOSERS = (".", ",")
+#: What stands between two words' ids in decimal, and between their bytes.
+GLUE = (b" ", b"")
 
 # The classes of letters, numbers and white space among the first 256 code points.
 _L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼-¾", "\t-\r \u0085 "
@@ -46,25 +50,50 @@ def split(text: str) -> list[str]:
 
 
 class Kept:
-    """What strings become by make(), kept for the latest ones: those not asked for in a whole generation are forgotten."""
-
-    def __init__(self, make: Callable[[list[str]], list[tuple[bytes, ...]]], outputs: int, most: int) -> None:
-        self.make, self.generation = make, most // 2
-        self.now: list[dict[str, bytes]] = [{} for _ in range(outputs)]
-        self.old = self.now
-
-    def learn(self, strings: set[str]) -> None:
-        """Afterwards `now` has all the strings."""
-        new = strings.difference(self.now[0])
-        if len(self.now[0]) + len(new) > self.generation:
-            self.old, self.now, new = self.now, [{} for _ in self.now], strings
-        again = [s for s in new if s in self.old[0]]
-        for d, old in zip(self.now, self.old, strict=True):
-            d.update((s, old[s]) for s in again)
-        new = list(new.difference(again))
-        for s, made in zip(new, self.make(new), strict=True):
-            for d, x in zip(self.now, made, strict=True):
-                d[s] = x
+    """What strings become by make(), kept in Arrow columns for the latest ones: beyond a bound, the half not asked for the longest goes."""
+
+    def __init__(self, make: Callable[[pa.Array], list[pa.Array]], most: int) -> None:
+        self.make, self.most, self.round = make, most, 0
+        self.forget()
+
+    def forget(self) -> None:
+        none = pa.array([], pa.string())
+        self.columns, self.asked = [none, *self.make(none)], np.empty(0, np.int32)
+
+    def of(self, strings: pa.Array) -> list[pa.Array]:
+        """The columns of make() for distinct strings."""
+        self.round += 1
+        at = pc.index_in(strings, value_set=self.columns[0]).fill_null(-1).to_numpy().copy()
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            at[new] = len(self.asked) + np.arange(len(new))
+            given = strings.take(pa.array(new))
+            self.columns = [pa.concat_arrays(c) for c in zip(self.columns, [given, *self.make(given)], strict=True)]
+            self.asked = np.append(self.asked, np.zeros(len(new), np.int32))
+        self.asked[at] = self.round
+        out = [c.take(pa.array(at)) for c in self.columns[1:]]
+        if len(self.asked) > self.most:
+            latest = np.sort(np.argsort(self.asked, kind="stable")[-(self.most // 2) :])
+            self.columns, self.asked = [c.take(pa.array(latest)) for c in self.columns], self.asked[latest]
+        if sum(c.nbytes for c in self.columns) > BYTES_KEPT:
+            self.forget()
+        return out
+
+
+def stems(parts: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """What is before a closer that follows letters alone, or the whole part; that closer or nothing; whether the former is letters alone.
+
+    Arrow's letters are some of the pattern's.
+    """
+    before, at_end = pc.utf8_slice_codeunits(parts, 0, -1), [pc.ends_with(parts, c) for c in CLOSERS]
+    closed = pc.and_(pc.utf8_is_alpha(before), pc.or_(*at_end))
+    closer = pc.if_else(closed, pc.if_else(at_end[0], *CLOSERS), "")
+    return pc.if_else(closed, before, parts), closer, pc.or_(closed, pc.utf8_is_alpha(parts))
+
+
+def odd(parts: pa.Array) -> pa.Array:
+    """Whether parts are empty or have white space at an end."""
+    return pc.or_(pc.equal(parts, ""), pc.not_equal(parts, pc.utf8_trim_whitespace(parts)))
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -105,19 +134,43 @@ class Encoder:
         self.byte_id = np.array([ranks[bytes([x])] for x in range(256)], np.int32)
         self.size = np.zeros(max(ranks.values()) + 1, np.int64)
         self.size[list(ranks.values())] = [len(t) for t in ranks]
-        self.words = Kept(self.encode, 2, STRINGS_KEPT)
+        self.words = Kept(self.encode, STRINGS_KEPT)
+        self.parts = Kept(self.after_space, STRINGS_KEPT)
 
     def put(self, name: str, t: pa.Table) -> None:
         self.db.register("given", t)
         self.db.execute(f"CREATE OR REPLACE TABLE {name} AS SELECT * FROM given")
         self.db.unregister("given")
 
-    def encode(self, given: list[str]) -> list[tuple[bytes, bytes]]:
+    def encode(self, words: pa.Array) -> list[pa.Array]:
         """For each word its ids in decimal, joined by a space, and the bytes decoded from them."""
-        raw = [w.encode("utf-8", "surrogatepass") for w in given]
+        raw = words.cast(pa.binary()).to_pylist()
         short = sorted((r for r in raw if len(r) <= LONG), key=len)
         out = self.whole(short)
-        return [out[r] if len(r) <= LONG else self.stitched(r) for r in raw]
+        made = [out[r] if len(r) <= LONG else self.stitched(r) for r in raw]
+        return [pa.array([m[k] for m in made], pa.binary()) for k in range(2)]
+
+    def spelled(self, words: list[tuple[str, ...]]) -> list[pa.Array]:
+        """As encode(), for sequences of words."""
+        coded = pa.array(list(chain.from_iterable(words)), pa.string()).dictionary_encode()
+        offsets = pa.array(np.cumsum([0, *map(len, words)]), pa.int32())
+        return [pc.binary_join(pa.ListArray.from_arrays(offsets, made.take(coded.indices)), glue) for made, glue in zip(self.words.of(coded.dictionary), GLUE, strict=True)]
+
+    def after_space(self, parts: pa.Array) -> list[pa.Array]:
+        """As encode(), for parts with a space before them; and whether they are empty or have white space at an end."""
+        stem, closer, letters = stems(parts)
+        order = pa.array(np.concatenate([np.flatnonzero(x) for x in (letters, pc.invert(letters))]))
+        # Letters are one word.
+        words = pc.binary_join_element_wise(" ", stem.filter(letters), "").dictionary_encode()
+        rest = self.spelled([tuple(split(" " + p)) for p in parts.filter(pc.invert(letters)).to_pylist()])
+        ends = self.spelled([(c,) if c else () for c in ("", *CLOSERS)])
+        end = pc.index_in(closer.filter(letters), value_set=pa.array(["", *CLOSERS]))
+        none, back, out = pc.equal(end, 0), pc.sort_indices(order), []
+        for first, other, tail, glue in zip(self.words.of(words.dictionary), rest, ends, GLUE, strict=True):
+            first = first.take(words.indices)
+            closed = pc.if_else(none, first, pc.binary_join_element_wise(first, tail.take(end), glue))
+            out.append(pa.concat_arrays([closed, other]).take(back))
+        return [*out, odd(parts)]
 
     def whole(self, raw: list[bytes]) -> dict[bytes, tuple[bytes, bytes]]:
         out, at = {}, 0
@@ -181,23 +234,18 @@ class Encoder:
         """
         parts = pc.split_pattern(texts.fill_null(""), " ")
         coded = parts.flatten().dictionary_encode()
-        strings, starts = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), parts.offsets.to_numpy() - parts.offsets[0].as_py()
-        odd = np.array([not p or p != p.strip() for p in strings], bool)[coded.indices.to_numpy()]
-        whole = np.logical_or.reduceat(odd, starts[:-1]) & (np.diff(starts) > 1) if len(texts) else odd
+        *made, apart = self.parts.of(coded.dictionary)
+        apart, starts = apart.to_numpy(zero_copy_only=False)[coded.indices.to_numpy()], parts.offsets.to_numpy() - parts.offsets[0].as_py()
+        whole = np.logical_or.reduceat(apart, starts[:-1]) & (np.diff(starts) > 1) if len(texts) else apart
         firsts = parts.flatten().take(pa.array(starts[:-1])).to_pylist()
-        # The distinct parts' words; then, for each text, those of its first part, or of the whole text. Letters are one word.
-        words: list[tuple[str, ...]] = [(" " + p,) if p.isalpha() else (" " + p[:-1], p[-1]) if p[-1:] in CLOSERS and p[:-1].isalpha() else tuple(split(" " + p)) for p in strings]
-        words += [tuple(split(texts[k].as_py() if all_ else firsts[k])) for k, all_ in enumerate(whole)]
+        # For each text the words of its first part, or of the whole text.
+        heads = self.spelled([tuple(split(texts[k].as_py() if all_ else firsts[k])) for k, all_ in enumerate(whole)])
         index, use = coded.indices.to_numpy().copy(), np.ones(starts[-1], bool)
-        index[starts[:-1]] = len(strings) + np.arange(len(texts))
+        index[starts[:-1]] = len(coded.dictionary) + np.arange(len(texts))
         for k in np.flatnonzero(whole):
             use[starts[k] + 1 : starts[k + 1]] = False
-        self.words.learn(set(chain.from_iterable(words)))
-        offsets = pa.array(np.concatenate([[0], np.cumsum(use)])[starts], pa.int32())
-        out = []
-        for kept, glue in zip(self.words.now, (b" ", b""), strict=True):
-            made = pa.array([kept[w[0]] if len(w) == 1 else glue.join([kept[x] for x in w]) for w in words], pa.binary())
-            out.append(pc.binary_join(pa.ListArray.from_arrays(offsets, made.take(pa.array(index[use]))), glue))
+        offsets, index = pa.array(np.concatenate([[0], np.cumsum(use)])[starts], pa.int32()), pa.array(index[use])
+        out = [pc.binary_join(pa.ListArray.from_arrays(offsets, pa.concat_arrays(m).take(index)), glue) for *m, glue in zip(made, heads, GLUE, strict=True)]
         return out[0], out[1]
 
 

@@ -22,13 +22,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkseam.llm.bpe import Kept, split
+from sparkseam.llm.bpe import CLOSERS, Kept, odd, split, stems
 from sparkseam.llm.common import n_parts, shared_dir
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
-#: After letters alone, these are a token of their own: what is before them is looked up without them.
-CLOSERS = ".,"
 #: Parts of texts whose ids a worker keeps from task to task, and texts looked up at once.
 PARTS_KEPT, AT_ONCE = 900_000, 5000
 #: Parts that are handed to the library as one list.
@@ -124,8 +122,9 @@ class Tokens:
         # The same library for words that are already apart.
         self.words = Tokenizer.from_file(path)
         self.words.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.later = Kept(lambda parts: [(x,) for x in self.after_space(parts)], 1, PARTS_KEPT)
-        self.closers = dict(zip(CLOSERS, self.encode(list(CLOSERS)), strict=True))
+        self.closers = pa.array([b"", *self.encode(list(CLOSERS))], pa.binary())
+        self.stems = Kept(lambda parts: [self.after_space(parts)], PARTS_KEPT)
+        self.later = Kept(self.closed, PARTS_KEPT)
 
     def encode(self, strings: list[str]) -> list[bytes]:
         out = []
@@ -133,35 +132,41 @@ class Tokens:
             out += [array("H", e.ids).tobytes() for e in self.lib.encode_batch_fast(strings[at : at + 10_000], add_special_tokens=False)]
         return out
 
-    def after_space(self, parts: list[str]) -> list[bytes]:
+    def after_space(self, parts: pa.Array) -> pa.Array:
         """The ids of each part with a space before it; many parts' words go as one list, cut at the tokens that open with a space."""
-        out: list[bytes] = []
-        runs = [[[" " + p] if p.isalpha() else split(" " + p) for p in parts[at : at + PARTS_AT_ONCE]] for at in range(0, len(parts), PARTS_AT_ONCE)]
-        for n, coded in enumerate(self.words.encode_batch_fast([list(chain.from_iterable(run)) for run in runs], is_pretokenized=True, add_special_tokens=False)):
+        letters = pc.utf8_is_alpha(parts)
+        order = pa.array(np.concatenate([np.flatnonzero(x) for x in (letters, pc.invert(letters))]))
+        words: list[list[str]] = [[w] for w in pc.binary_join_element_wise(" ", parts.filter(letters), "").to_pylist()]
+        words += [split(" " + p) for p in parts.filter(pc.invert(letters)).to_pylist()]
+        runs = [words[at : at + PARTS_AT_ONCE] for at in range(0, len(words), PARTS_AT_ONCE)]
+        out = [pa.array([], pa.binary())]
+        for run, coded in zip(runs, self.words.encode_batch_fast([list(chain.from_iterable(r)) for r in runs], is_pretokenized=True, add_special_tokens=False), strict=True):
             ids = np.array(coded.ids, np.uint16)
-            cuts = [*(2 * np.flatnonzero(self.opens[ids])).tolist(), 2 * len(ids)]
-            if len(cuts) == len(runs[n]) + 1:
-                raw = ids.tobytes()
-                out += [raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            cuts = np.append(np.flatnonzero(self.opens[ids]), len(ids)).astype(np.int32)
+            if len(cuts) == len(run) + 1:
+                out.append(pa.Array.from_buffers(pa.binary(), len(run), [None, pa.py_buffer(2 * cuts), pa.py_buffer(ids)]))
             else:  # parts that begin with white space of their own
-                out += self.encode([" " + p for p in parts[n * PARTS_AT_ONCE :][: len(runs[n])]])
-        return out
+                out.append(pa.array(self.encode(["".join(w) for w in run]), pa.binary()))
+        return pa.concat_arrays(out).take(pc.sort_indices(order))
+
+    def closed(self, parts: pa.Array) -> list[pa.Array]:
+        """As after_space(), closers apart; and whether the parts are empty or have white space at an end."""
+        stem, closer, _ = stems(parts)
+        stem, end = stem.dictionary_encode(), pc.index_in(closer, value_set=pa.array(["", *CLOSERS]))
+        ids = self.stems.of(stem.dictionary)[0].take(stem.indices)
+        return [pc.binary_join_element_wise(ids, self.closers.take(end), b""), odd(parts)]
 
     def texts(self, texts: pa.Array) -> Iterator[bytes]:
         """The 16-bit ids of each text, END_ID last."""
         end = array("H", [END_ID]).tobytes()
         parts = pc.split_pattern(texts, " ")
         coded = parts.flatten().dictionary_encode()
-        words, starts = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), parts.offsets.to_numpy() - parts.offsets[0].as_py()
-        stem = [w[:-1] if w[-1:] in CLOSERS and w[:-1].isalpha() else w for w in words]
-        self.later.learn(set(stem))
-        get = self.later.now[0].__getitem__
-        ids = [get(s) if len(s) == len(w) else get(s) + self.closers[w[-1]] for s, w in zip(stem, words, strict=True)]
-        odd = np.array([not w or w != w.strip() for w in words], bool)[coded.indices.to_numpy()]
-        whole = np.logical_or.reduceat(odd, starts[:-1]) & (np.diff(starts) > 1) if len(texts) else odd
+        ids, apart = self.later.of(coded.dictionary)
+        apart, starts = apart.to_numpy(zero_copy_only=False)[coded.indices.to_numpy()], parts.offsets.to_numpy() - parts.offsets[0].as_py()
+        whole = np.logical_or.reduceat(apart, starts[:-1]) & (np.diff(starts) > 1) if len(texts) else apart
         for s in self.special:
             whole |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
-        laid = pa.array(ids, pa.binary()).take(coded.indices)
+        laid = ids.take(coded.indices)
         data, at = laid.buffers()[2].to_pybytes() if laid.buffers()[2] else b"", np.frombuffer(laid.buffers()[1], np.int32)[laid.offset :]
         first = self.encode(parts.flatten().take(pa.array(starts[:-1])).to_pylist())
         for k, all_ in enumerate(whole):
