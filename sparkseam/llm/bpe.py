@@ -1,9 +1,8 @@
 """Byte-level BPE: encoding and decoding by DuckDB's recursive queries in each partition.
 
-A partition's distinct words become token-position rows (word, place, token id, next id), which join the merge table. A
-recursive query contracts, in each word, its leftmost pair of minimum rank, and joins the two new neighbours with the merge
-table, until no pair has a rank; from step to step a word's rows travel as one list in their order. Ordered aggregation, joined
-with the vocabulary, turns the ids back into bytes.
+A partition's distinct words become lists of token ids and of their pairs' ranks. A recursive query contracts, in each word, its
+leftmost pair of minimum rank, and joins the two new neighbours with the merge table, until no pair has a rank. Ordered
+aggregation of token-position rows, joined with the vocabulary, turns the ids back into bytes.
 """
 
 from __future__ import annotations
@@ -101,22 +100,25 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-#: Contracts the leftmost pair of the lowest rank of each word. ids begin with -1, which has no pair; {none}: no rank.
-CONTRACT = """
-WITH RECURSIVE begun AS (
-  SELECT t.wid, [-1] || list(t.id ORDER BY t.pos) AS ids, [{none}] || list(coalesce(m.rank, {none}) ORDER BY t.pos) AS ranks
-  FROM begin t LEFT JOIN merges m ON m.a = t.id AND m.b = t.next GROUP BY t.wid),
-s(wid, ids, ranks) AS (
-  SELECT wid, ids, ranks FROM begun
+#: No rank.
+NONE = 2**31 - 1
+#: Contracts the leftmost pair of the lowest rank of each word. ids begin with -1, which has no pair.
+CONTRACT = f"""
+WITH RECURSIVE s(wid, ids, ranks, best) AS (
+  SELECT wid, ids, ranks, list_min(ranks) FROM begin
   UNION ALL
-  SELECT c.wid, list_concat(c.ids[:c.i - 1], [c.best], c.ids[c.i + 2:]),
-    list_concat(c.ranks[:c.i - 2], [coalesce(l.rank, {none}), coalesce(g.rank, {none})], c.ranks[c.i + 2:])
-  FROM (SELECT wid, ids, ranks, best, list_position(ranks, best) AS i FROM (SELECT *, list_min(ranks) AS best FROM s) WHERE best < {none}) c
-  LEFT JOIN merges l ON l.a = c.ids[c.i - 1] AND l.b = c.best
-  LEFT JOIN merges g ON g.a = c.best AND g.b = c.ids[c.i + 2])
-SELECT t.wid AS wid, string_agg(CAST(t.id AS VARCHAR), ' ' ORDER BY t.pos) AS ids, string_agg(v.hex, '' ORDER BY t.pos) AS hex
-FROM (SELECT wid, unnest(ids) AS id, generate_subscripts(ids, 1) AS pos FROM s WHERE list_min(ranks) = {none}) t JOIN vocabulary v ON v.id = t.id GROUP BY t.wid
-""".format(none=2**31 - 1)
+  SELECT wid, ids, ranks, list_min(ranks) FROM (
+    SELECT c.wid, list_concat(c.ids[:c.i - 1], [c.best], c.ids[c.i + 2:]) AS ids,
+      list_concat(c.ranks[:c.i - 2], [coalesce(l.rank, {NONE}), coalesce(g.rank, {NONE})], c.ranks[c.i + 2:]) AS ranks
+    FROM (SELECT *, list_position(ranks, best) AS i FROM s WHERE best < {NONE}) c
+    LEFT JOIN merges l ON l.a = c.ids[c.i - 1] AND l.b = c.best
+    LEFT JOIN merges g ON g.a = c.best AND g.b = c.ids[c.i + 2])),
+done AS MATERIALIZED (SELECT wid, ids[2:] AS ids FROM s WHERE best = {NONE})
+SELECT done.wid AS wid, done.ids AS ids, d.back AS back
+FROM done JOIN (
+  SELECT t.wid, unhex(string_agg(v.hex, '' ORDER BY t.pos)) AS back
+  FROM (SELECT wid, unnest(ids) AS id, generate_subscripts(ids, 1) AS pos FROM done) t JOIN vocabulary v ON v.id = t.id GROUP BY t.wid) d ON d.wid = done.wid
+"""
 
 
 class Encoder:
@@ -132,10 +134,11 @@ class Encoder:
         self.put("merges", pa.table({"a": a, "b": b, "rank": r}))
         self.put("vocabulary", pa.table({"id": pa.array(ranks.values(), pa.int32()), "hex": [t.hex() for t in ranks]}))
         self.byte_id = np.array([ranks[bytes([x])] for x in range(256)], np.int32)
+        self.byte_pair = np.array([ranks.get(bytes([x, y]), NONE) for x in range(256) for y in range(256)], np.int32).reshape(256, 256)
         self.size = np.zeros(max(ranks.values()) + 1, np.int64)
         self.size[list(ranks.values())] = [len(t) for t in ranks]
         self.words = Kept(self.encode, STRINGS_KEPT)
-        self.parts = Kept(self.after_space, STRINGS_KEPT)
+        self.parts = Kept(self.between_spaces, STRINGS_KEPT)
 
     def put(self, name: str, t: pa.Table) -> None:
         self.db.register("given", t)
@@ -144,44 +147,52 @@ class Encoder:
 
     def encode(self, words: pa.Array) -> list[pa.Array]:
         """For each word its ids in decimal, joined by a space, and the bytes decoded from them."""
-        raw = words.cast(pa.binary()).to_pylist()
-        short = sorted((r for r in raw if len(r) <= LONG), key=len)
-        out = self.whole(short)
-        made = [out[r] if len(r) <= LONG else self.stitched(r) for r in raw]
-        return [pa.array([m[k] for m in made], pa.binary()) for k in range(2)]
+        words = words.cast(pa.binary())
+        order = np.argsort(pc.binary_length(words).to_numpy(), kind="stable")
+        words = words.take(pa.array(order))
+        short = int(pc.sum(pc.less_equal(pc.binary_length(words), LONG), min_count=0).as_py())
+        made = self.whole(words[:short])
+        if short < len(words):
+            long = [self.stitched(r) for r in words[short:].to_pylist()]
+            made = [pa.concat_arrays([m, pa.array([x[k] for x in long], pa.binary())]) for k, m in enumerate(made)]
+        back = pa.array(np.argsort(order))
+        return [m.take(back) for m in made]
 
     def spelled(self, words: list[tuple[str, ...]]) -> list[pa.Array]:
         """As encode(), for sequences of words."""
-        coded = pa.array(list(chain.from_iterable(words)), pa.string()).dictionary_encode()
-        offsets = pa.array(np.cumsum([0, *map(len, words)]), pa.int32())
+        return self.joined(pa.array(list(chain.from_iterable(words)), pa.string()), np.cumsum([0, *map(len, words)]))
+
+    def joined(self, words: pa.Array, offsets: np.ndarray) -> list[pa.Array]:
+        coded, offsets = words.dictionary_encode(), pa.array(offsets, pa.int32())
         return [pc.binary_join(pa.ListArray.from_arrays(offsets, made.take(coded.indices)), glue) for made, glue in zip(self.words.of(coded.dictionary), GLUE, strict=True)]
 
-    def after_space(self, parts: pa.Array) -> list[pa.Array]:
-        """As encode(), for parts with a space before them; and whether they are empty or have white space at an end."""
-        stem, closer, letters = stems(parts)
-        order = pa.array(np.concatenate([np.flatnonzero(x) for x in (letters, pc.invert(letters))]))
-        # Letters are one word.
-        words = pc.binary_join_element_wise(" ", stem.filter(letters), "").dictionary_encode()
-        rest = self.spelled([tuple(split(" " + p)) for p in parts.filter(pc.invert(letters)).to_pylist()])
-        ends = self.spelled([(c,) if c else () for c in ("", *CLOSERS)])
-        end = pc.index_in(closer.filter(letters), value_set=pa.array(["", *CLOSERS]))
-        none, back, out = pc.equal(end, 0), pc.sort_indices(order), []
-        for first, other, tail, glue in zip(self.words.of(words.dictionary), rest, ends, GLUE, strict=True):
-            first = first.take(words.indices)
-            closed = pc.if_else(none, first, pc.binary_join_element_wise(first, tail.take(end), glue))
-            out.append(pa.concat_arrays([closed, other]).take(back))
-        return [*out, odd(parts)]
-
-    def whole(self, raw: list[bytes]) -> dict[bytes, tuple[bytes, bytes]]:
-        out, at = {}, 0
-        while at < len(raw):
-            to, size = at, 0
-            while to < len(raw) and to - at < WORDS_AT_ONCE and (to == at or size < 8 * WORDS_AT_ONCE):
-                size += len(raw[to])
-                to += 1
-            self.run(raw[at:to], out)
+    def between_spaces(self, parts: pa.Array) -> list[pa.Array]:
+        """As encode(), for parts with a space before them or none; and whether they are else empty or have white space at an end."""
+        bare = pc.if_else(pc.starts_with(parts, " "), pc.utf8_slice_codeunits(parts, 1), parts)
+        _, closer, letters = stems(bare)
+        closed, letters = pc.not_equal(closer, "").to_numpy(zero_copy_only=False), letters.to_numpy(zero_copy_only=False)
+        # Letters are one word, and with a closer two.
+        rest = [split(p) for p in parts.filter(pa.array(~letters)).to_pylist()]
+        n = 1 + closed.astype(np.int64)
+        n[~letters] = list(map(len, rest))
+        offsets = np.concatenate([[0], np.cumsum(n)])
+        words, at, of = pa.concat_arrays([parts, pc.utf8_slice_codeunits(parts, 0, -1), closer, pa.array(list(chain.from_iterable(rest)), pa.string())]), np.empty(offsets[-1], np.int64), np.arange(len(parts))
+        at[offsets[:-1][letters]] = (of + len(parts) * closed)[letters]
+        at[offsets[:-1][closed] + 1] = of[closed] + 2 * len(parts)
+        at[np.repeat(~letters, n)] = 3 * len(parts) + np.arange(n[~letters].sum())
+        return [*self.joined(words.take(pa.array(at)), offsets), odd(bare)]
+
+    def whole(self, words: pa.Array) -> list[pa.Array]:
+        """As encode(), for words in order of length, each by the query alone."""
+        ends = np.cumsum(pc.binary_length(words).to_numpy(), dtype=np.int64)
+        out, at = [[pa.array([], pa.binary())] for _ in range(2)], 0
+        while at < len(words):
+            to = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 8 * WORDS_AT_ONCE, "right"))
+            to = min(max(to, at + 1), at + WORDS_AT_ONCE, len(words))
+            for o, made in zip(out, self.run(words[at:to]), strict=True):
+                o.append(made)
             at = to
-        return out
+        return [pa.concat_arrays(o) for o in out]
 
     def stitched(self, raw: bytes, block: int = LONG) -> tuple[bytes, bytes]:
         """A long word from overlapping blocks, each contracted like a word, joined at tokens that two neighbours share.
@@ -192,7 +203,8 @@ class Encoder:
         is from one block and the right one from the other. Blocks without such a token (periodic text) are doubled.
         """
         begins = range(0, max(1, len(raw) - block // 2), block // 2)
-        coded = self.whole(list({raw[b : b + block] for b in begins}))
+        blocks = sorted({raw[b : b + block] for b in begins}, key=len)
+        coded = dict(zip(blocks, zip(*(m.to_pylist() for m in self.whole(pa.array(blocks, pa.binary()))), strict=True), strict=True))
         ids: list[int] = []
         ends: list[int] = []
         back: list[bytes] = []
@@ -204,7 +216,7 @@ class Encoder:
             shared = {pair: first + k for k, pair in enumerate(zip(ends[first:], ids[first:], strict=True))}
             k = next((k for k, pair in enumerate(zip(to, new, strict=True)) if k and pair in shared), None) if b else -1
             if k is None:
-                return self.stitched(raw, 2 * block) if block < len(raw) else self.whole([raw])[raw]
+                return self.stitched(raw, 2 * block) if block < len(raw) else tuple(m[0].as_py() for m in self.whole(pa.array([raw], pa.binary())))
             if b:
                 keep = shared[to[k], new[k]] + 1
                 back[-1] = back[-1][: len(back[-1]) - (ends[-1] - to[k])]
@@ -214,16 +226,19 @@ class Encoder:
             ends += to[k + 1 :]
         return " ".join(map(str, ids)).encode(), b"".join(back)
 
-    def run(self, raw: list[bytes], out: dict[bytes, tuple[bytes, bytes]]) -> None:
-        n = np.array([len(x) for x in raw])
-        wid = np.repeat(np.arange(len(raw), dtype=np.int32), n)
-        pos = (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
-        ids = self.byte_id[np.frombuffer(b"".join(raw), np.uint8)]
-        follows = np.append(ids[1:], -1).astype(np.int32)
-        follows[np.cumsum(n) - 1] = -1
-        self.put("begin", pa.table({"wid": wid, "pos": pos, "id": ids, "next": follows}))
-        for k, i, h in self.db.execute(CONTRACT).fetchall():
-            out[raw[k]] = (i.encode(), bytes.fromhex(h))
+    def run(self, words: pa.Array) -> list[pa.Array]:
+        n = pc.binary_length(words).to_numpy().astype(np.int64)
+        data = np.frombuffer(pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), b"")[0].as_buffer(), np.uint8)
+        at = np.arange(len(data)) + np.repeat(np.arange(1, len(n) + 1), n)
+        ids, ranks = np.full(len(data) + len(n), -1, np.int32), np.full(len(data) + len(n), NONE, np.int32)
+        ids[at] = self.byte_id[data]
+        ranks[at[:-1]] = self.byte_pair[data[:-1], data[1:]]
+        ranks[at[np.cumsum(n) - 1]] = NONE
+        offsets = pa.array(np.concatenate([[0], np.cumsum(n + 1)]), pa.int32())
+        self.put("begin", pa.table({"wid": np.arange(len(n), dtype=np.int32), **{c: pa.ListArray.from_arrays(offsets, pa.array(x)) for c, x in (("ids", ids), ("ranks", ranks))}}))
+        got = self.db.sql(CONTRACT).to_arrow_table().sort_by("wid").combine_chunks()
+        lists, back = (got[c].chunk(0) for c in ("ids", "back"))
+        return [pc.binary_join(pa.ListArray.from_arrays(lists.offsets, lists.values.cast(pa.string())), " ").cast(pa.binary()), back.cast(pa.binary())]
 
     def texts(self, texts: pa.Array) -> tuple[pa.Array, pa.Array]:
         """For each text its ids in decimal, joined by a space, and the bytes decoded from them (binary arrays).
@@ -233,19 +248,20 @@ class Encoder:
         split into words once. Other texts are split as a whole.
         """
         parts = pc.split_pattern(texts.fill_null(""), " ")
-        coded = parts.flatten().dictionary_encode()
-        *made, apart = self.parts.of(coded.dictionary)
-        apart, starts = apart.to_numpy(zero_copy_only=False)[coded.indices.to_numpy()], parts.offsets.to_numpy() - parts.offsets[0].as_py()
+        coded, starts = parts.flatten().dictionary_encode(), parts.offsets.to_numpy() - parts.offsets[0].as_py()
+        # All parts with their space, and each text's first one without.
+        firsts = parts.flatten().take(pa.array(starts[:-1])).dictionary_encode()
+        *made, apart = self.parts.of(pa.concat_arrays([pc.binary_join_element_wise(" ", coded.dictionary, ""), firsts.dictionary]))
+        apart = apart.to_numpy(zero_copy_only=False)[coded.indices.to_numpy()]
         whole = np.logical_or.reduceat(apart, starts[:-1]) & (np.diff(starts) > 1) if len(texts) else apart
-        firsts = parts.flatten().take(pa.array(starts[:-1])).to_pylist()
-        # For each text the words of its first part, or of the whole text.
-        heads = self.spelled([tuple(split(texts[k].as_py() if all_ else firsts[k])) for k, all_ in enumerate(whole)])
         index, use = coded.indices.to_numpy().copy(), np.ones(starts[-1], bool)
-        index[starts[:-1]] = len(coded.dictionary) + np.arange(len(texts))
-        for k in np.flatnonzero(whole):
-            use[starts[k] + 1 : starts[k + 1]] = False
+        index[starts[:-1]] = len(coded.dictionary) + firsts.indices.to_numpy()
+        for k, at in enumerate(np.flatnonzero(whole)):
+            index[starts[at]] = len(made[0]) + k
+            use[starts[at] + 1 : starts[at + 1]] = False
+        others = self.spelled([tuple(split(texts[k].as_py())) for k in np.flatnonzero(whole)])
         offsets, index = pa.array(np.concatenate([[0], np.cumsum(use)])[starts], pa.int32()), pa.array(index[use])
-        out = [pc.binary_join(pa.ListArray.from_arrays(offsets, pa.concat_arrays(m).take(index)), glue) for *m, glue in zip(made, heads, GLUE, strict=True)]
+        out = [pc.binary_join(pa.ListArray.from_arrays(offsets, pa.concat_arrays(m).take(index)), glue) for *m, glue in zip(made, others, GLUE, strict=True)]
         return out[0], out[1]
 
 
