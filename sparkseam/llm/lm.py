@@ -41,6 +41,8 @@ BUCKET_BYTES = 16_000_000
 PIECE = 1 << 18
 #: Characters whose pairs' keys are made at once: few, so that the steps between stay in the processor's caches.
 KEYS_AT_ONCE = 100_000
+#: Texts whose blocks are scored at once.
+TEXTS_AT_ONCE = 120
 #: Log odds are kept in steps of 1 / STEPS, within a signed byte.
 STEPS = 16
 
@@ -49,10 +51,8 @@ def symbols(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """All texts' symbols, each text with its end, and the number of symbols of each."""
     raw = [(t or "").encode("utf-8", "surrogatepass").lower() for t in texts]
     n = np.array([len(r) + 1 for r in raw], np.int64)
-    s = np.full(n.sum(), END, np.uint16)
-    body = np.ones(len(s), bool)
-    body[np.cumsum(n) - 1] = False
-    s[body] = np.frombuffer(b"".join(raw), np.uint8)
+    s = np.frombuffer(b"".join([r + b"\xff" for r in raw]), np.uint8).astype(np.uint16)
+    s[np.cumsum(n) - 1] = END
     return s, n
 
 
@@ -182,6 +182,149 @@ def places(keys: list[np.ndarray], size: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+class Spelled:
+    """A chunk's words, each with the white space or end after it: the distinct ones, and each occurrence's place, end and number."""
+
+    def __init__(self, s: np.ndarray, n: np.ndarray) -> None:
+        # A byte that UTF-8 doesn't have stands for a text's end.
+        data = s.astype(np.uint8)
+        data[np.cumsum(n) - 1] = 255
+        self.ends = np.flatnonzero((data == 32) | (data - np.uint8(9) < 5) | (data == 255)) + 1
+        self.begins = np.concatenate([[0], self.ends[:-1]])
+        self.last = data[self.ends - 1] == 255
+        words = pa.Array.from_buffers(pa.binary(), len(self.ends), [None, pa.py_buffer(np.append(self.begins, len(s)).astype(np.int32)), pa.py_buffer(data)]).dictionary_encode()
+        self.number, self.words = words.indices.to_numpy(), words.dictionary
+
+
+def windows(s: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """For each symbol the last six of its text up to it, the latest lowest, in nine bits each; 0 for what is before the text."""
+    out = np.empty(len(s), np.uint64)
+    for a in range(0, len(s), KEYS_AT_ONCE):
+        one = s[max(a - 5, 0) : a + KEYS_AT_ONCE].astype(np.uint64) + np.uint64(1)
+        two = one.copy()
+        two[1:] |= one[:-1] << np.uint64(9)
+        six = two.copy()
+        six[2:] |= two[:-2] << np.uint64(18)
+        six[4:] |= two[:-4] << np.uint64(36)
+        out[a : a + KEYS_AT_ONCE] = six[min(a, 5) :]
+    starts = np.cumsum(n) - n
+    for j in range(5):
+        out[starts[n > j] + j] &= np.uint64((1 << 9 * (j + 1)) - 1)
+    return out
+
+
+def window_keys(w: np.ndarray) -> list[np.ndarray]:
+    """The keys of windows for the predictors of four and five symbols."""
+    before = (w >> np.uint64(9)) & np.uint64(511)
+    before = np.where(before == 0, np.uint64(END), before - np.uint64(1))
+    return [_key((w >> np.uint64(18)) & np.uint64((1 << bits) - 1), before, (w & np.uint64(511)) - np.uint64(1)) for bits in (27, 36)]
+
+
+class WordKeys:
+    """Keys for the predictor of the word so far: those of the distinct words' symbols, then those of words' first symbols.
+
+    What is before a word differs by occurrence: `first` is each occurrence's first pair, `firsts` the distinct ones in the keys' order.
+    """
+
+    def __init__(self, s: np.ndarray, spelled: Spelled) -> None:
+        begins, number = spelled.begins, spelled.number
+        self.offsets = offsets = np.frombuffer(spelled.words.buffers()[1], np.int32)[: len(spelled.words) + 1].astype(np.int64)
+        own = np.frombuffer(spelled.words.buffers()[2], np.uint8)[: offsets[-1]].astype(np.uint16)
+        own[own == 255] = END
+        before, some = s[begins - 1], np.empty(len(offsets) - 1, np.uint16)
+        some[number] = before
+        keys, a = [], 0
+        while a < len(offsets) - 1:
+            b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + KEYS_AT_ONCE, "right")) - 1)
+            part, begin = own[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+            last = befores(part)
+            last[begin[:-1]] = some[a:b]
+            power, shrink = _powers(len(part) + 1)
+            run = np.zeros(len(part) + 1, np.uint64)
+            np.cumsum((part.astype(np.uint64) + np.uint64(1)) * power[:-1], out=run[1:])
+            long = np.diff(begin)
+            word = (run[:-1] - np.repeat(run[begin[:-1]], long)) * np.repeat(shrink[begin[:-1]], long)
+            word ^= word >> np.uint64(32)
+            keys.append(_key(word, last, part))
+            a = b
+        self.first = before.astype(np.int64) * SYMBOLS + s[begins]
+        self.firsts = np.flatnonzero(np.bincount(self.first, minlength=SYMBOLS * SYMBOLS))
+        keys.append(_key(np.zeros(len(self.firsts), np.uint64), self.firsts // SYMBOLS, self.firsts % SYMBOLS))
+        self.keys = np.concatenate(keys)
+
+
+def _sums(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order and the sums of their counts."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    begin = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[begin], np.add.reduceat(counts[order], begin).astype(np.uint32)
+
+
+def counted_pairs(s: np.ndarray, n: np.ndarray, spelled: Spelled, learns: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each predictor the keys (as of pair_keys(), without the last bit) of all texts' distinct pairs, in order, and how often training texts hold them.
+
+    Contexts of four symbols are counted by those of five, and words' by distinct words.
+    """
+    w = windows(s, n)
+    w <<= np.uint64(1)
+    w |= np.repeat(learns.astype(np.uint64), n)
+    w.sort()
+    taught = (w & np.uint64(1)).astype(np.uint32)
+    w >>= np.uint64(1)
+    begin = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
+    w, counts = w[begin], np.add.reduceat(taught, begin, dtype=np.int64)
+    out = [_sums(k, counts) for k in window_keys(w)]
+    k, learn = WordKeys(s, spelled), np.repeat(learns, np.diff(np.flatnonzero(spelled.last) + 1, prepend=0))
+    each = np.repeat(np.bincount(spelled.number[learn], minlength=len(spelled.words)), np.diff(k.offsets))
+    each[k.offsets[:-1]] = 0
+    firsts = np.bincount(k.first[learn], minlength=SYMBOLS * SYMBOLS)[k.firsts]
+    return [*out, _sums(k.keys, np.concatenate([each, firsts]))]
+
+
+def placed(s: np.ndarray, n: np.ndarray, spelled: Spelled, size: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each predictor what places() gives, and the keys of its pairs in order."""
+    met = pa.array(windows(s, n)).dictionary_encode()
+    of = met.indices.to_numpy()
+    four, five = window_keys(met.dictionary.to_numpy())
+    (begin4, u4), (begin5, u5) = _begins(four, size), _begins(five, size)
+    k = WordKeys(s, spelled)
+    begin, u = _begins(k.keys, size)
+    at = np.repeat((k.offsets.take(spelled.number) - spelled.begins).astype(np.int32), spelled.ends - spelled.begins)
+    at += np.arange(len(s), dtype=np.int32)
+    word, of_first = begin.take(at), np.zeros(SYMBOLS * SYMBOLS, begin.dtype)
+    of_first[k.firsts] = begin[k.offsets[-1] :]
+    word[spelled.begins] = of_first.take(k.first)
+    return [(begin4.take(of), u4), (begin5.take(of), u5), (word, u)]
+
+
+def _begins(keys: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the keys' bits begin in a table of the distinct ones in order, and these keys."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    new = np.concatenate([[True], keys[1:] != keys[:-1]])
+    u = keys[new]
+    ends = np.cumsum(size[pairs_of(u)], dtype=np.int64)
+    first = np.concatenate([[0], ends[:-1]]).astype(np.int64 if ends[-1] >> 31 else np.int32)
+    begins = np.empty(len(keys), first.dtype)
+    begins[order] = first.take(np.cumsum(new) - 1)
+    return begins, u
+
+
+def _key(context: np.ndarray, before: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+    """A pair's key as pair_keys() has it, without the last bit."""
+    return (context * np.uint64(0x9E3779B97F4A7C15) << np.uint64(19) | before.astype(np.uint64) << np.uint64(10) | symbol.astype(np.uint64) << np.uint64(1)) >> np.uint64(1)
+
+
+def against(odds: np.ndarray, u: np.ndarray, code: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The log odds along the bits of pairs (in order), turned into those of the other value than the bit's own."""
+    pair = pairs_of(u)
+    sizes = size[pair].astype(np.int64)
+    left = (np.repeat(np.cumsum(sizes), sizes) - 1 - np.arange(len(odds))).astype(np.uint32)
+    one = np.repeat(code[pair], sizes) >> left & np.uint32(1)
+    return np.where(one.view(np.int32).astype(bool), -odds, odds)
+
+
 def packed(a: np.ndarray) -> bytes:
     """A numpy array, sorted if of 64 bits, in fewer bytes: differences, their bytes place by place, compressed."""
     a = np.diff(a, prepend=a.dtype.type(0)) if a.dtype == np.uint64 else a
@@ -309,7 +452,10 @@ class Mixer:
         return most
 
     def log10(self, texts: list[str | None], found: list[np.ndarray] | None = None) -> np.ndarray:
-        """The log10 probability of each text: its bits' log odds mixed, weights refined after each block."""
+        """The log10 probability of each text: its bits' log odds mixed, weights refined after each block.
+
+        found: for each predictor and symbol where its bits begin in tables made by against().
+        """
         s, n = symbols(texts)
         total = np.zeros(len(n))
         if not len(s):
@@ -319,41 +465,58 @@ class Mixer:
         for r in range(int(-(-n.max() // BLOCK))):
             live = np.flatnonzero(n > r * BLOCK)
             first, last = ends[live] - n[live] + r * BLOCK, np.minimum(ends[live], ends[live] - n[live] + (r + 1) * BLOCK)
-            for part in np.array_split(np.arange(len(live)), max(1, len(live) // 120)):
+            for part in np.array_split(np.arange(len(live)), max(1, len(live) // TEXTS_AT_ONCE)):
                 self._block(b, live[part], first[part], last[part], own, total)
         return total / np.log(10)
 
     def _block(self, b: Bits, live: np.ndarray, first: np.ndarray, last: np.ndarray, own: np.ndarray, total: np.ndarray) -> None:
-        got = [b.piece(x, y) for x, y in zip(first, last, strict=True)] if len(live) < 8 else [b_gather(b, first, last)]
-        bit = np.concatenate([x[1] for x in got])
-        slots = [np.concatenate([x[2][k] for x in got]) for k in range(PREDICTORS)]
         sizes = b.ends[last - 1] - b.ends[first] + b.size[first]
-        steps = self.inputs(slots)
+        steps = self._against(b, first, last)
         g = gate(steps)
+        g += np.repeat(np.arange(len(live)) * GATES, sizes)
         x = [v * np.float32(1 / STEPS) for v in steps]
-        z = np.zeros(len(bit), np.float32)
+        z = np.zeros(len(g), np.float32)
         for k in range(PREDICTORS):
-            w = self.weights[:, k].take(g)
-            w += np.repeat(own[live, k], sizes)
+            w = (self.weights[:, k] + own[live, k, None]).ravel().take(g)
             w *= x[k]
             z += w
         np.clip(z, -12, 12, out=z)
-        sign = bit * np.float32(2) - np.float32(1)
-        z *= -sign
-        e = np.exp(z)
+        e = np.exp(z, out=z)
+        more = e + np.float32(1)
+        e /= more
         starts = np.cumsum(sizes) - sizes
-        total[live] -= np.add.reduceat(np.log(e + np.float32(1)), starts, dtype=float)
-        sign *= e / (e + np.float32(1))
+        total[live] -= np.add.reduceat(np.log(more, out=more), starts, dtype=float)
         for k in range(PREDICTORS):
-            x[k] *= sign
-            own[live, k] += RATE * np.add.reduceat(x[k], starts) / np.sqrt(sizes).astype(np.float32)
+            x[k] *= e
+            own[live, k] -= RATE * np.add.reduceat(x[k], starts) / np.sqrt(sizes).astype(np.float32)
         np.clip(own, -0.5, 0.5, out=own)
 
+    def _against(self, b: Bits, first: np.ndarray, last: np.ndarray) -> list[np.ndarray]:
+        """Each predictor's log odds, in steps, of the other value than the bit's own, for the bits of runs of symbols."""
+        if not b.found:
+            _, bit, slots = b_gather(b, first, last)
+            return [np.where(bit, -v, v) for v in self.inputs(slots)]
+        at = _runs(first, last)
+        size = b.size.take(at)
+        ends = np.cumsum(size)
+        ends -= size
+        bits, out = np.arange(ends[-1] + size[-1]), []
+        for o, c in zip(self.odds, b.contexts, strict=True):
+            place = np.repeat(c.take(at) - ends, size)
+            place += bits
+            out.append(o.take(place))
+        return out
+
+
+def _runs(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The numbers of several runs, one after the other."""
+    n = last - first
+    return np.arange(n.sum()) + np.repeat(first - (np.cumsum(n) - n), n)
+
 
 def b_gather(b: Bits, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """Bits.piece() of several runs of symbols at once."""
-    n = last - first
-    at = np.arange(n.sum()) + np.repeat(first - (np.cumsum(n) - n), n)
+    at = _runs(first, last)
     some = object.__new__(Bits)
     some.code, some.size, some.found, some.contexts = b.code[at], b.size[at], b.found, [c[at] for c in b.contexts]
     some.ends = np.cumsum(some.size)
@@ -402,23 +565,30 @@ class Words:
     place, n: for all texts' tokens, one text after the other, their places among the distinct ones, and each text's number of tokens.
     """
 
-    def __init__(self, texts: list[str | None], buckets: int) -> None:
-        parts = [pa.array(tokens(t), pa.binary()) for t in texts]
-        self.n = np.array([len(p) for p in parts])
-        met = pa.concat_arrays(parts).dictionary_encode()
-        order = pc.sort_indices(met.dictionary)
-        words = met.dictionary.take(order).to_pylist()
-        bucket = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)) % np.uint64(buckets)
-        again = np.argsort(bucket, kind="stable")
-        self.words = [words[k] for k in again.tolist()]
-        self.cuts = np.searchsorted(bucket[again], np.arange(buckets + 1, dtype=np.uint64))
-        places_ = np.empty(len(words), np.int64)
-        places_[order.to_numpy()[again]] = np.arange(len(words))
-        self.place = places_[met.indices.to_numpy()]
+    def __init__(self, texts: list[str | None], buckets: int, spelled: Spelled | None = None) -> None:
+        spelled = spelled or Spelled(*symbols(texts))
+        # The last of the strings is the end.
+        met = pa.concat_arrays([pc.binary_slice(spelled.words, 0, -1), pa.array([b""], pa.binary())]).dictionary_encode()
+        of, long = met.indices.to_numpy(), spelled.ends - spelled.begins
+        counts = np.stack([long > 1, spelled.last], 1)
+        self.n = np.diff((np.cumsum(counts[:, 0]) + np.cumsum(counts[:, 1]))[spelled.last], prepend=0)
+        place = np.stack([of.take(spelled.number), np.full(len(long), of[-1])], 1)[counts]
+        bucket = np.fromiter(map(xxhash.xxh64_intdigest, met.dictionary.to_pylist()), np.uint64, len(met.dictionary)) % np.uint64(buckets)
+        order = pc.sort_indices(met.dictionary).to_numpy()
+        order = order[np.argsort(bucket[order], kind="stable")]
+        self.sorted = met.dictionary.take(pa.array(order))
+        self.cuts = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
+        places_ = np.empty(len(order), np.int64)
+        places_[order] = np.arange(len(order))
+        self.place = places_.take(place)
+
+    @property
+    def words(self) -> list[bytes]:
+        return self.sorted.to_pylist()
 
     def counts(self, learn: list[bool]) -> np.ndarray:
         """How often training texts hold each of the distinct tokens."""
-        return np.bincount(self.place[np.repeat(np.array(learn, bool), self.n)], minlength=len(self.words)).astype(np.uint32)
+        return np.bincount(self.place[np.repeat(np.array(learn, bool), self.n)], minlength=len(self.sorted)).astype(np.uint32)
 
 
 def counted(t: pa.Table) -> pa.Table:
@@ -532,23 +702,20 @@ def scored(docs: DataFrame) -> DataFrame:
     def pairs(t: pa.Table) -> pa.Table:
         """A chunk's distinct pairs and how often training texts hold them, by predictor and bucket (id)."""
         cols: tuple = ([], [], [])
-        keys = _all_keys(t["text"].combine_chunks(), t["learns"])
-        for k in range(PREDICTORS):
-            key, keys[k] = keys[k], None
-            key.sort()
-            taught = (key & np.uint64(1)).astype(np.uint32)
-            key >>= np.uint64(1)
-            begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            u, c = key[begin], np.add.reduceat(taught, begin, dtype=np.uint32)
+        texts = t["text"].to_pylist()
+        s, n_ = symbols(texts)
+        spelled = Spelled(s, n_)
+        for k, (u, c) in enumerate(counted_pairs(s, n_, spelled, t["learns"].to_numpy())):
             bucket = (u >> np.uint64(31)) * np.uint64(buckets) >> np.uint64(32)
             cuts = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
             for b in np.flatnonzero(np.diff(cuts)):
                 for col, v in zip(cols, (k * buckets + int(b), packed(u[cuts[b] : cuts[b + 1]]), packed(c[cuts[b] : cuts[b + 1]])), strict=True):
                     col.append(v)
-        w = Words(t["text"].to_pylist(), buckets)
+        w = Words(texts, buckets, spelled)
         cuts, n_ = w.cuts, w.counts(t["learns"].to_pylist())
+        lines = pc.binary_join(pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), w.sorted), b"\n")
         for b in np.flatnonzero(np.diff(cuts)):
-            joined = zstandard.ZstdCompressor(level=1).compress(b"\n".join(w.words[cuts[b] : cuts[b + 1]]))
+            joined = zstandard.ZstdCompressor(level=1).compress(lines[b].as_buffer())
             for col, v in zip(cols, (PREDICTORS * buckets + int(b), joined, packed(n_[cuts[b] : cuts[b + 1]])), strict=True):
                 col.append(v)
         give_back()
@@ -581,19 +748,24 @@ def scored(docs: DataFrame) -> DataFrame:
 
     def score(docs_: pa.Table, given: pa.Table) -> pa.Table:
         texts, learn = docs_["text"].to_pylist(), docs_["learns"].to_pylist()
+        run = symbols(texts)
+        spelled = Spelled(*run)
         table, press = given.filter(pc.greater_equal(given["id"], PREDICTORS * buckets)).sort_by("id"), zstandard.ZstdDecompressor()
         c = np.frombuffer(b"".join(press.decompress(x.as_buffer()) for x in table["odds"]), np.int64)
-        w = Words(texts, buckets)
+        w = Words(texts, buckets, spelled)
         counts_, away = w.n, np.log10(n + v + 1)
         known, base = [], []
         for got in np.split(np.log10(c + 1.0)[w.place], np.cumsum(counts_)[:-1]):
             known.append(int((got > 0).sum()))
             base.append(float(got.sum() - away * len(got)))
+        del w
+        final, at, found = [], 0, []
         m = Mixer(*coded.value, _tables(given["id"], given["odds"], buckets))
         m.weights = weights
-        del w
-        final, at = [], 0
-        found = places(_all_keys(docs_["text"].combine_chunks(), docs_["learns"]), coded.value[1])
+        for k, (place, u) in enumerate(placed(*run, spelled, coded.value[1])):
+            found.append(place)
+            m.odds[k] = against(m.odds[k], u, *coded.value)
+        del u, run, spelled
         for some in _groups(docs_["text"].combine_chunks()):
             long = int(symbols(some)[1].sum())
             final.append(m.log10(some, [f[at : at + long] for f in found]))
