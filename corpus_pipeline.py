@@ -1,23 +1,38 @@
 """The corpus pipeline: five stages from raw documents to token ids, each a function (spark, docs, sf_dir) -> DataFrame.
 
 Stages filter or rewrite; all but the last return the columns of documents. doc_id is the key. A null text stays null and
-counts as empty; a row without doc_id can't be named by a filter, so that the second and fourth stage keep it.
+counts as empty; a row without doc_id can't be named by a filter, so that the second and fourth stage keep it. Each stage
+sets the session to hand texts to Python in small batches.
 """
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkseam.llm import bpe, decontaminate, quality, simhash, suffixes
-from sparkseam.llm.common import maybe_broadcast, table, written
+from sparkseam.llm.common import maybe_broadcast, table, texts_at_once, written
+
+
+def in_small_batches(stage: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    @functools.wraps(stage)
+    def begin(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        texts_at_once(spark)
+        return stage(spark, docs, sf_dir)
+
+    return begin
 
 
+@in_small_batches
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the quality classifier rejects."""
     return quality.kept(docs, table(spark, sf_dir, "labels"))
 
 
+@in_small_batches
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of each group of near-duplicates the document of the smallest doc_id."""
     groups = simhash.near_duplicates(docs)
@@ -25,11 +40,13 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return docs.join(maybe_broadcast(dropped), "doc_id", "left_anti").select(docs.columns)
 
 
+@in_small_batches
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts byte strings out of each text that an earlier document holds too."""
     return suffixes.without_repeats(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
+@in_small_batches
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that hold too much of the benchmark."""
     found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
@@ -37,6 +54,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return docs.join(maybe_broadcast(dropped), "doc_id", "left_anti").select(docs.columns)
 
 
+@in_small_batches
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Encodes the texts and decodes the ids: doc_id, n_tokens, ids_sha256, decoded_sha256."""
     return bpe.round_trip(docs)

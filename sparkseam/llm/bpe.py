@@ -22,12 +22,12 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from sparkseam.llm.common import give_back, worker_kept
+from sparkseam.llm.common import giving_back, worker_kept
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: Words encoded by one query, strings that a task keeps, and rows and characters looked up at once.
 WORDS_AT_ONCE, STRINGS_KEPT = 20_000, 400_000
-ROWS_AT_ONCE, CHARS_AT_ONCE = 5000, 5_000_000
+ROWS_AT_ONCE, CHARS_AT_ONCE = 5000, 2_000_000
 #: Bytes of kept strings and what they become, beyond which all are forgotten: long words.
 BYTES_KEPT = 100_000_000
 #: Longer words are encoded in blocks of so many bytes, of which each begins half a block after the one before.
@@ -279,9 +279,8 @@ def encoded(docs: DataFrame, schema: str, columns: Callable[[pa.RecordBatch, pa.
         names, enc = [c.split()[0] for c in schema.split(", ")], encoder(path)
         for part in sliced(batches, ROWS_AT_ONCE, CHARS_AT_ONCE):
             yield pa.RecordBatch.from_arrays(columns(part, *enc.texts(part.column("text"))), names)
-            give_back(encoder)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lambda it: giving_back(run(it), encoder), schema)
 
 
 def sliced(batches: Iterable[pa.RecordBatch], rows: int, size: int) -> Iterator[pa.RecordBatch]:

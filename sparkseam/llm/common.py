@@ -9,6 +9,7 @@ import re
 import sys
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +21,8 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 BROADCAST_ROWS = 200_000
 #: Spark's setting that a query's shuffle files go when it ends: what written() has written doesn't need them.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Spark's setting of the rows that go to Python at once, and how many of them if they are texts.
+BATCH, TEXTS_AT_ONCE = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +53,15 @@ def written(df: DataFrame, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def texts_at_once(spark: SparkSession, rows: int = TEXTS_AT_ONCE) -> None:
+    """From now on Python gets rows of texts in batches of at most so many; a lower setting of the session stays.
+
+    Executors hold a batch twice while it grows, outside the heap, and their processes don't return all of it.
+    """
+    if not 0 < int(spark.conf.get(BATCH)) <= rows:
+        spark.conf.set(BATCH, str(rows))
+
+
 def maybe_broadcast(df: DataFrame, most_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast hint for a table made by written(), if its counted rows are within the bound; else Spark shuffles."""
     return F.broadcast(df) if df.count() <= most_rows else df
@@ -105,3 +117,12 @@ def give_back(*used) -> None:
         for what, size in _USUAL.items():
             _libc().mallopt(what, size)
         _libc().malloc_trim(0)
+
+
+def giving_back(batches: Iterable[pa.RecordBatch], *used) -> Iterator[pa.RecordBatch]:
+    """The batches that a task makes; give_back() after each, and once more when the maker holds none any more."""
+    for b in batches:
+        yield b
+        del b
+        give_back(*used)
+    give_back(*used)

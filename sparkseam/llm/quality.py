@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkseam.llm.common import give_back
+from sparkseam.llm.common import giving_back
 
 BITS = 18
 ORDERS = (1, 2, 3, 4)
@@ -136,7 +136,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Model
             f = [features(t) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("quality"), pa.array(f, pa.list_(pa.int32()))], ["doc_id", "quality", "f"])
 
-    got = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("doc_id", F.col("quality").cast("int").alias("quality"), "text").mapInArrow(make, "doc_id long, quality int, f array<int>").toArrow()
+    got = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("doc_id", F.col("quality").cast("int").alias("quality"), "text").mapInArrow(lambda it: giving_back(make(it)), "doc_id long, quality int, f array<int>").toArrow()
     order = np.lexsort([got["quality"].to_numpy(), got["doc_id"].to_numpy()])
     rows, col = [], got["f"].combine_chunks()
     flat, ends = col.flatten().to_numpy(), np.concatenate([[0], np.cumsum(col.value_lengths().to_numpy())])
@@ -158,7 +158,7 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
             s = [model.score(t) if model else 0.5 for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(s, pa.float64())], ["doc_id", "score"])
 
-    out = docs.select("doc_id", "text").mapInArrow(score, "doc_id long, score double")
+    out = docs.select("doc_id", "text").mapInArrow(lambda it: giving_back(score(it)), "doc_id long, score double")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
 
 
@@ -169,6 +169,5 @@ def kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield b.filter(pa.array([model is None or model.score(t) >= CUT for t in b.column("text").to_pylist()], pa.bool_()))
-            give_back()
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(lambda it: giving_back(keep(it)), docs.schema)

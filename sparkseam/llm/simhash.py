@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkseam.llm import linking
-from sparkseam.llm.common import give_back, written
+from sparkseam.llm.common import giving_back, written
 from sparkseam.llm.graph import components
 
 RADIUS = 3
@@ -50,7 +50,6 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for b in batches:
         f = np.array([fingerprint(x) for x in b.column("text").to_pylist()], "<u8").view("<i8")
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(f)], ["doc_id", "fp"])
-        give_back()
 
 
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -69,11 +68,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     fingerprint zero and link like any other. Repeated rows each get a row. A row without doc_id gets the component of
     its fingerprint. Extra columns are ignored. The result is exact; large buckets are compared in blocks.
     """
-    fps = written(docs.select("doc_id", "text").mapInArrow(_fingerprints, "doc_id long, fp long"))
+    fps = written(docs.select("doc_id", "text").mapInArrow(lambda it: giving_back(_fingerprints(it)), "doc_id long, fp long"))
     nodes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("node")))
     keys = F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks()])).alias("t", "key")
     known = nodes.where("node IS NOT NULL")
     groups = linking.blocks(known.select("node", keys), known.select("node", "fp"))
-    comps = components(groups.mapInArrow(_links, "a long, b long"))
+    comps = components(groups.mapInArrow(lambda it: giving_back(_links(it)), "a long, b long"))
     placed = nodes.join(comps, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     return fps.join(placed, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkseam.llm.common import give_back, hold_memory, written
+from sparkseam.llm.common import give_back, giving_back, hold_memory, written
 
 LENGTH = 50
 KMER = 20
@@ -342,10 +342,10 @@ def repeats(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["bucket", "doc", "row", "start", "bytes"])
 
     asks = spans.where("ask").groupBy("doc", "row").agg(F.collect_list(F.struct("bucket", "start", "n")).alias("asks"))
-    texts = keyed.select("doc", "row", "text").join(asks, ["doc", "row"]).mapInArrow(fetched, "bucket int, doc long, row long, start long, bytes binary")
+    texts = keyed.select("doc", "row", "text").join(asks, ["doc", "row"]).mapInArrow(lambda it: giving_back(fetched(it)), "bucket int, doc long, row long, start long, bytes binary")
     compared = texts.groupBy("bucket").applyInArrow(_compared, "doc long, row long, start long, n int")
     every = spans.where("NOT ask").select("doc", "row", "start", "n").union(compared)
-    by_doc = every.groupBy("doc", "row").agg(F.collect_list(F.struct("start", "n")).alias("spans")).mapInArrow(_union, "doc long, row long, starts array<bigint>, stops array<bigint>")
+    by_doc = every.groupBy("doc", "row").agg(F.collect_list(F.struct("start", "n")).alias("spans")).mapInArrow(lambda it: giving_back(_union(it)), "doc long, row long, starts array<bigint>, stops array<bigint>")
     by_doc = written(by_doc)
     size = by_doc.agg(F.count("*"), F.coalesce(F.sum(F.size("starts")), F.lit(0))).first()
     small = F.broadcast(by_doc) if size[0] <= MOST_DOCS and size[1] <= MOST_SPANS else by_doc
@@ -378,7 +378,7 @@ def removed(docs: DataFrame) -> DataFrame:
                 sha.append(hashlib.sha256(kept).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column("d").field("doc_id"), *(pa.array(x, pa.int64()) for x in (n, gone, spans)), pa.array(sha, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return repeats(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return repeats(docs.select("doc_id", "text")).mapInArrow(lambda it: giving_back(run(it)), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
@@ -391,7 +391,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
             cols[at] = pa.array([None if x is None else x if not s else cut(x.encode("utf-8", "surrogatepass"), s, e).decode("utf-8", "ignore") for x, s, e in _cuts(b)], pa.string())
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    return repeats(docs).mapInArrow(run, docs.schema)
+    return repeats(docs).mapInArrow(lambda it: giving_back(run(it)), docs.schema)
 
 
 ORACLE_SQL = """
