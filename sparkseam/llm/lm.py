@@ -559,6 +559,13 @@ def fit_code(docs: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
     return prefix_code(pairs)
 
 
+def strings(a: pa.BinaryArray) -> list[bytes]:
+    """As to_pylist(), which makes a scalar of each: cut out of the array's bytes."""
+    at = np.frombuffer(a.buffers()[1], np.int32)[a.offset : a.offset + len(a) + 1].tolist()
+    data = (a.buffers()[2] or pa.py_buffer(b"")).to_pybytes()
+    return [data[b:e] for b, e in zip(at, at[1:])]
+
+
 class Words:
     """A chunk's distinct tokens by bucket, in order, and where each bucket begins (and the last ends).
 
@@ -573,7 +580,7 @@ class Words:
         counts = np.stack([long > 1, spelled.last], 1)
         self.n = np.diff((np.cumsum(counts[:, 0]) + np.cumsum(counts[:, 1]))[spelled.last], prepend=0)
         place = np.stack([of.take(spelled.number), np.full(len(long), of[-1])], 1)[counts]
-        bucket = np.fromiter(map(xxhash.xxh64_intdigest, met.dictionary.to_pylist()), np.uint64, len(met.dictionary)) % np.uint64(buckets)
+        bucket = np.fromiter(map(xxhash.xxh64_intdigest, strings(met.dictionary)), np.uint64, len(met.dictionary)) % np.uint64(buckets)
         order = pc.sort_indices(met.dictionary).to_numpy()
         order = order[np.argsort(bucket[order], kind="stable")]
         self.sorted = met.dictionary.take(pa.array(order))
@@ -609,6 +616,26 @@ def counted(t: pa.Table) -> pa.Table:
 ANSWERS = ["chunk", "id", "odds", "apart", "n", "v"]
 
 
+def _nodes(u: np.ndarray, code: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """For the bits of pairs (u, in order) the number of the context's node each is at: in order of code within contexts,
+    pairs that pass the same node are neighbours at every depth."""
+    context = np.cumsum(np.concatenate([[False], u[1:] >> np.uint64(9) != u[:-1] >> np.uint64(9)])).astype(np.uint64)
+    # Codes as fractions, without their leading one.
+    path = context << np.uint64(32) | (code.astype(np.uint64) << (np.uint64(32) - sizes.astype(np.uint64))) & np.uint64(2**32 - 1)
+    of = np.argsort(path, kind="stable")
+    path, size, first = path[of], sizes[of], (np.cumsum(sizes) - sizes)[of]
+    out, depth, n = np.empty(int(sizes.sum()), np.int64), 0, 0
+    while len(path):
+        new = np.concatenate([[True], path[1:] >> np.uint64(32 - depth) != path[:-1] >> np.uint64(32 - depth)])
+        node = np.cumsum(new)
+        out[first + depth] = node + (n - 1)
+        n += int(node[-1])
+        depth += 1
+        deeper = size > depth
+        path, size, first = path[deeper], size[deeper], first[deeper]
+    return out
+
+
 def answered(t: pa.Table, code: np.ndarray, size: np.ndarray) -> pa.Table:
     """For chunks' pairs of one bucket (chunk, id, keys, counts) the log odds along their bits; for a tuning chunk also those
     without the counts of tuning chunks (apart). All pairs of a context are in one bucket."""
@@ -616,7 +643,8 @@ def answered(t: pa.Table, code: np.ndarray, size: np.ndarray) -> pa.Table:
     chunk, n = t["chunk"].to_numpy(), np.array([len(k) for k in keys])
     counts = np.concatenate([unpacked(x.as_buffer(), np.uint32) for x in t["counts"]]).astype(np.int64)
     key = np.concatenate(keys)
-    order = np.argsort(key)
+    # Chunks' keys are in order, contexts nearly so: a stable sort merges such runs.
+    order = np.argsort(key, kind="stable")
     new = np.concatenate([[True], key[order][1:] != key[order][:-1]])
     u, begin = key[order][new], np.flatnonzero(new)
     of_key = np.empty(len(key), np.int64)
@@ -627,10 +655,8 @@ def answered(t: pa.Table, code: np.ndarray, size: np.ndarray) -> pa.Table:
     # The nodes of a context's code that its pairs pass, and each pair's counts added at every one.
     of = np.repeat(np.arange(len(u)), sizes)
     left = (np.repeat(ends, sizes) - 1 - np.arange(len(of))).astype(np.uint32)
-    word = code[pair][of]
-    context = np.cumsum(np.concatenate([[False], u[1:] >> np.uint64(9) != u[:-1] >> np.uint64(9)])).astype(np.uint64)
-    _, node = np.unique(context[of] << np.uint64(32) | word >> left >> np.uint32(1), return_inverse=True)
-    value = 2 * node + ((word >> left) & np.uint32(1))
+    node = _nodes(u, code[pair], sizes)
+    value = 2 * node + (code[pair][of] >> left & np.uint32(1))
 
     def odds(c: np.ndarray) -> np.ndarray:
         c = np.add.reduceat(c[order], begin)
