@@ -125,36 +125,40 @@ def retries_crawl(error: Column, code: Column) -> Column:
     return (F.coalesce(error, F.lit("")) != "ProfileExtractionSemanticError") & ~rejected
 
 
-def _folded(c: Column) -> Column:
+def _folded(c: Column, plain: bool = False) -> Column:
     """White space single and no case: capitals first, as a letter may become others by them (ß is SS), and one sigma for both.
 
     The optimizer drops capitals right inside small letters, so that the sigma's replacement stands between.
+    plain: small letters one by one (ß is no SS) and plain white space, as DuckDB has them.
     """
+    if plain:
+        return X.plain_lower(X.plain_space(F.coalesce(c, F.lit(""))))
     return F.lower(F.translate(F.upper(F.coalesce(X.normalize_space(c), F.lit(""))), "Σ", "σ"))
 
 
-def is_verbatim(excerpt: Column, source: Column, least_chars: int = 8) -> Column:
+def is_verbatim(excerpt: Column, source: Column, least_chars: int = 8, plain: bool = False) -> Column:
     """Whether the source holds the excerpt word for word; white space and case don't count, tiny excerpts do not pass."""
-    x = _folded(excerpt)
-    return (F.length(x) >= least_chars) & F.contains(_folded(source), x)
+    x = _folded(excerpt, plain)
+    return (F.length(x) >= least_chars) & F.contains(_folded(source, plain), x)
 
 
-def is_named(phrase: Column, source: Column) -> Column:
+def is_named(phrase: Column, source: Column, plain: bool = False) -> Column:
     """The same for a short name, which needs two letters or digits of ASCII."""
-    x = _folded(phrase)
-    return (F.length(F.regexp_replace(x, "[^a-z0-9]", "")) >= 2) & F.contains(_folded(source), x)
+    x = _folded(phrase, plain)
+    return (F.length(F.regexp_replace(x, "[^a-z0-9]", "")) >= 2) & F.contains(_folded(source, plain), x)
 
 
-def sanitized(verdict: Column, source: Column) -> Column:
+def sanitized(verdict: Column, source: Column, plain: bool = False) -> Column:
     """A verdict (match, pain_theme, signal_type, urgency_level, urgency_reason, evidence_excerpt, purchase_stage, competitor_mention)
-    with only those details that the source holds word for word; without a match, with none."""
-    match, bare = F.coalesce(verdict["match"], F.lit(False)), lambda c: F.coalesce(X.normalize_space(verdict[c]), F.lit(""))
-    urgent = match & is_verbatim(verdict["urgency_reason"], source)
+    with only those details that the source holds word for word; without a match, with none. plain: compared letter by letter."""
+    match, space = F.coalesce(verdict["match"], F.lit(False)), X.plain_space if plain else X.normalize_space
+    bare = lambda c: F.coalesce(space(verdict[c]), F.lit(""))
+    urgent = match & is_verbatim(verdict["urgency_reason"], source, plain=plain)
     keep = lambda ok, c: F.when(ok, bare(c)).otherwise("").alias(c)
     return F.struct(
         verdict["match"].alias("match"), F.when(match, verdict["pain_theme"]).otherwise("").alias("pain_theme"), F.when(match, verdict["signal_type"]).alias("signal_type"),
-        F.when(urgent, verdict["urgency_level"]).otherwise("none").alias("urgency_level"), keep(urgent, "urgency_reason"), keep(match & is_verbatim(verdict["evidence_excerpt"], source), "evidence_excerpt"),
-        F.when(match, verdict["purchase_stage"]).alias("purchase_stage"), keep(match & is_named(verdict["competitor_mention"], source), "competitor_mention"),
+        F.when(urgent, verdict["urgency_level"]).otherwise("none").alias("urgency_level"), keep(urgent, "urgency_reason"), keep(match & is_verbatim(verdict["evidence_excerpt"], source, plain=plain), "evidence_excerpt"),
+        F.when(match, verdict["purchase_stage"]).alias("purchase_stage"), keep(match & is_named(verdict["competitor_mention"], source, plain), "competitor_mention"),
     )
 
 
